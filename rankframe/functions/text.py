@@ -28,8 +28,9 @@ ENGLISH_STOPWORDS = (
     "through to too under until up very was we were what when where which "
     "while who whom why will with would you your yours yourself yourselves"
 ).split()
-# Separators Python's str.splitlines() breaks on, beyond \R.
-LINE_SPLIT_PATTERN = r"\R|[\x1c-\x1e]"
+# Line boundaries of Python's str.splitlines(), written so that both Java
+# regexes and RE2 accept the pattern.
+LINE_SPLIT_PATTERN = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 # --- end of fixed values ------------------------------------------------------
 
 STOPWORD_LISTS = {"en": ENGLISH_STOPWORDS}

@@ -42,6 +42,14 @@ class Ctx:
             self._index[key] = build_index(self.corpus, analyzer, positions=positions)
         return self._index[key]
 
+    def qterms(self, analyzer: Analyzer = QUERY_ANALYZER):
+        """Size-checked, persisted query-term table of the topics."""
+        from ..operators.retrieve import QueryTerms, query_terms
+        key = ("qterms", analyzer)
+        if key not in self._memo:
+            self._memo[key] = QueryTerms(query_terms(self.topics, analyzer))
+        return self._memo[key]
+
     @property
     def qrels(self) -> DataFrame:
         def build():

@@ -154,7 +154,7 @@ def q_doc_meta(spark, d):
 
 def _run(c, model="BM25", k=TOPK, analyzer=None):
     idx = c.index(analyzer) if analyzer is not None else c.index()
-    return rt.retrieve(idx, c.topics, model, k)
+    return rt.retrieve(idx, model=model, k=k, qterms=c.qterms(idx.analyzer))
 
 
 @query("bm25_topk")

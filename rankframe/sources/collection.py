@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("docno"), "text", "lang", "source")
+        F.col("doc_id").cast("string").alias("docno"), "text", "lang", "source", "n_chars")
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,17 +159,15 @@ def topic_split(topics_df: DataFrame) -> DataFrame:
         .when(F.col("bucket") <= SPLIT_DEV_MAX, "dev").otherwise("test"))
 
 
-def misspell(query_col) -> "F.Column":
-    """Deterministic misspelling: every token longer than 4 characters loses
-    its character at position 1 + (length mod 3)."""
-    toks = F.split(F.col(query_col), " ")
-
+def misspell_expr(q) -> "F.Column":
+    """Deterministic misspelling: every space-separated word longer than 4
+    characters loses its character at position 2 + (length mod 3)."""
     def drop(t):
         p = F.length(t) % 3 + 2
         return F.when(F.length(t) > 4,
                       F.concat(t.substr(F.lit(1), p - 1), t.substr(p + 1, F.length(t)))
                       ).otherwise(t)
-    return F.array_join(F.transform(toks, drop), " ")
+    return F.array_join(F.transform(F.split(q, " "), drop), " ")
 
 
 @dataclass
