@@ -69,13 +69,19 @@ def dense_score(run: DataFrame, qvec: DataFrame, dvec: DataFrame,
     dv = dvec.select(F.col(doc_key).alias("docno"), F.col("vector").alias("dv"))
     j = dv.join(cand, "docno").join(bounded_broadcast(qv), "qid")
     s = j.groupBy("qid", "docno", "score_0").agg(F.max(dot(F.col("qv"), F.col("dv"))).alias("score"))
-    return rank_within(s.withColumn("score", F.round("score", 6)))
+    # + 0.0 turns a rounded -0.0 into 0.0
+    return rank_within(s.withColumn("score", F.round("score", 6) + F.lit(0.0)))
+
+
+# Interpolated scores keep 9 decimals: inputs carry 6, so a 6-place rounding
+# would often fall exactly on a half and tie-break differently across engines.
+MIX_DECIMALS = 9
 
 
 def interpolate(run: DataFrame, alpha: float) -> DataFrame:
     """α·score_0 + (1-α)·score, re-ranked."""
     out = run.withColumn("score", F.round(F.lit(alpha) * F.col("score_0")
-                                          + F.lit(1.0 - alpha) * F.col("score"), 6))
+                                          + F.lit(1.0 - alpha) * F.col("score"), MIX_DECIMALS))
     return rank_within(out.drop("rank"))
 
 
@@ -84,5 +90,6 @@ def alpha_grid_runs(run: DataFrame, alphas=ALPHA_GRID) -> DataFrame:
     as a column (a bounded generator, not a join); ranks per (α, qid)."""
     g = run.select("*", F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha"))
     g = g.withColumn("score", F.round(F.col("alpha") * F.col("score_0")
-                                      + (F.lit(1.0) - F.col("alpha")) * F.col("score"), 6))
+                                      + (F.lit(1.0) - F.col("alpha")) * F.col("score"),
+                                      MIX_DECIMALS))
     return g

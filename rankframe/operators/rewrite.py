@@ -189,7 +189,9 @@ def rm3_terms(index: Index, run: DataFrame, qterms: DataFrame,
     docs = docs.withColumn("pq", F.col("score") / F.sum("score").over(wq))
     pr = (bags.join(bounded_broadcast(docs.select("qid", "docno", "pq")), ["qid", "docno"])
           .groupBy("qid", "term")
-          .agg(F.sum(F.col("tf").cast("double") / F.col("dl") * F.col("pq")).alias("pr")))
+          # rounded so that float summation order cannot reorder near-ties
+          .agg(F.round(F.sum(F.col("tf").cast("double") / F.col("dl") * F.col("pq")), 12)
+               .alias("pr")))
     ranked = pr.withColumn("_rn", F.row_number().over(
         Window.partitionBy("qid").orderBy(F.col("pr").desc(), F.col("term").asc())))
     top = ranked.filter(F.col("_rn") <= fb_terms).select("qid", "term", "pr")
@@ -270,7 +272,8 @@ def build_prompts(topics: DataFrame, n_multi: int = 3,
 def generation_lines(gen: DataFrame) -> DataFrame:
     """(qid, line_no, line, cleaned) for every line of every raw generation
     (the raw text is stripped first, as the model client does)."""
-    return gen.select("qid", F.posexplode(split_lines(F.trim(F.col("raw")))).alias("line_no", "line")
+    stripped = F.regexp_replace(F.col("raw"), r"^\s+|\s+$", "")
+    return gen.select("qid", F.posexplode(split_lines(stripped)).alias("line_no", "line")
                       ).withColumn("cleaned", clean_generation(F.col("line")))
 
 
