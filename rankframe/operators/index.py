@@ -150,7 +150,8 @@ def build_index(corpus: DataFrame, analyzer: Analyzer = DEFAULT,
                   .groupBy("term", "docno")
                   .agg(F.array_sort(F.collect_list("pos")).alias("pos")))
 
-    idx = Index(postings, lexicon, doc_lengths, {}, analyzer, pos_df)
+    idx = Index(postings, lexicon, doc_lengths, {}, analyzer, pos_df,
+                extra={"corpus": corpus.select("docno", F.col(text_col).alias("text"))})
     if persist:
         idx.persist()
     idx.stats = collection_statistics(idx)
@@ -167,6 +168,19 @@ def collection_statistics(idx: Index) -> dict:
             "num_postings": int(lx["p"] or 0), "avg_dl": (c / n) if n else 0.0}
 
 
+def term_positions(idx: Index, terms: DataFrame) -> DataFrame:
+    """(term, docno, p) for the given (bounded) set of terms only: from the
+    positional index when it was built, otherwise by one positional
+    tokenisation of the corpus filtered map-side to those terms."""
+    from ..session import bounded_broadcast
+    t = bounded_broadcast(terms.select("term").distinct())
+    if idx.positions is not None:
+        return (idx.positions.join(t, "term")
+                .select("term", "docno", F.explode("pos").alias("p")))
+    toks = analysed_tokens(idx.extra["corpus"], idx.analyzer, "text", with_positions=True)
+    return toks.join(t, "term").select("term", "docno", F.col("pos").alias("p"))
+
+
 def doc_term_bags(idx: Index) -> DataFrame:
     """Direct index: docno → array of (term, tf) sorted by term."""
     return (idx.postings.groupBy("docno")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import Analyzer, clean_generation, sanitize, split_lines
 from ..session import bounded_broadcast
-from .index import Index
+from .index import Index, term_positions
 from .retrieve import QueryTerms, with_query_length
 
 # --- fixed values -----------------------------------------------------------------
@@ -115,8 +115,7 @@ def pair_postings(index: Index, pairs: DataFrame) -> DataFrame:
     n_pairs = pairs.persist().count()
     terms = (pairs.select(F.col("a").alias("term")).union(pairs.select(F.col("b").alias("term")))
              .distinct())
-    pos = (index.positions.join(bounded_broadcast(terms), "term")
-           .select("term", "docno", F.explode("pos").alias("p")))
+    pos = term_positions(index, terms).persist()   # used by both join sides
     offsets = F.when(F.col("kind") == "o", F.array(F.lit(1))).otherwise(
         F.array(*[F.lit(o) for o in range(-(SDM_WINDOW - 1), SDM_WINDOW) if o != 0]))
     left = (pos.join(bounded_broadcast(pairs, known_rows=n_pairs),

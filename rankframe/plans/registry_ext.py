@@ -50,7 +50,7 @@ def q_sdm_clauses(spark, d):
 
 
 def _sdm_run(c, k):
-    idx = c.index(positions=True)
+    idx = c.index()
     postings, lexicon, qt = rw.sdm_query(idx, c.topics)
     s = rt.score_matches(idx, qt, ("BM25",), postings=postings, lexicon=lexicon)
     return rt.rank_within(s.select("qid", "docno", r6(F.col("BM25")).alias("score")), k)
