@@ -372,8 +372,10 @@ def _ltr_features(c):
         idx = c.index()
         cand = _cands(c)
         jf = ltr.jaccard_features(cand, c.topics, ltr.doc_fields(c.corpus))
-        f = rt.features_retrieve(idx, c.topics, "BM25", ("PL2", "DPH", "BM25"), None)
-        f = f.select("qid", "docno", F.col("features").alias("mf"))
+        # model features only for the candidates (restricted before aggregation)
+        sm = rt.score_matches(idx, c.qterms(), ("PL2", "DPH", "BM25"), candidates=cand)
+        f = sm.select("qid", "docno", F.array(*[r6(F.col(m)) for m in ("PL2", "DPH", "BM25")])
+                      .alias("mf"))
         nch = c.corpus.select("docno", F.col("n_chars").cast("double").alias("n_chars"))
         out = (cand.join(jf, ["qid", "docno"], "left").join(f, ["qid", "docno"], "left")
                .join(nch, ["docno"], "left"))
