@@ -12,9 +12,10 @@ few long documents would throw a small source far off its target, so the
 threshold on the draws is read from their word-weighted distribution: the
 draws are cut into ``CELLS`` cells per source, the words of the cells
 summed, and the copy goes to the cells from 0 up whose words come nearest to
-fraction x words. A document's place among the draws is a hash, so each has
-the fraction as its probability, and the realised words follow the target
-as closely as whole cells allow.
+fraction x words. What is then still missing or too much is mended by the at
+most ``MENDS`` cells that fit it best. A document's place among the draws is a hash, so each
+has about the fraction as its probability, and the realised words follow the
+target as closely as whole cells allow.
 
 Only per-document numbers (no text) are shuffled, pre-aggregated per
 (source, cell); the cells of a source are at most ``CELLS`` rows.
@@ -37,6 +38,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2.0
 CELLS = 4096
+MENDS = 3
 SEED = "mix-1"
 # --- end of fixed values ----------------------------------------------------------
 
@@ -83,34 +85,49 @@ def sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 
 def plan(sized: DataFrame, **options) -> DataFrame:
-    """(source, source_size, target, copies, cut): every document of a source
-    is taken ``copies`` times, and once more if its draw cell is below ``cut``."""
+    """(source, source_size, target, copies, cut, flips): every document of a
+    source is taken ``copies`` times, and once more if its draw cell is below
+    ``cut``; for the cells in ``flips`` it is the other way round."""
     goal = targets(sized, **options)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = (goal.withColumn("copies", F.floor(rate).cast("long"))
             .withColumn("want", F.col("target") - F.col("copies") * F.col("source_size")))
     cells = sized.groupBy("source", "cell").agg(F.sum("size").alias("words"))
     run = Window.partitionBy("source").orderBy("cell")
-    cells = cells.withColumn("upto", F.sum("words").over(run))
-    g, c = goal.alias("g"), cells.alias("c")
+    c = checkpointed(cells.withColumn("upto", F.sum("words").over(run))).alias("c")
     near = F.struct(F.abs(F.col("upto") - F.col("want")).alias("off"), "upto",
                     (F.col("cell") + 1).alias("cut"))
-    best = (g.join(c, F.col("g.source").eqNullSafe(F.col("c.source")), "left")
+    best = (goal.alias("g").join(c, F.col("g.source").eqNullSafe(F.col("c.source")), "left")
             .groupBy("g.source", "source_size", "target", "copies", "want")
             .agg(F.min(near).alias("near")))
-    cut = F.when(F.col("near.off") < F.col("want"), F.col("near.cut")).otherwise(0)
-    return checkpointed(best.select("source", "source_size", "target", "copies",
-                                    cut.cast("long").alias("cut")))
+    taken = F.col("near.off") < F.col("want")  # else the nearest is to take none
+    best = best.select("source", "source_size", "target", "copies",
+                       F.when(taken, F.col("near.cut")).otherwise(0).cast("long").alias("cut"),
+                       (F.col("want") - F.when(taken, F.col("near.upto")).otherwise(0)).alias("left"))
+    best = best.withColumn("flips", F.array().cast("array<long>"))
+    for _ in range(MENDS):
+        words = F.when(F.col("cell") < F.col("cut"), -F.col("words")).otherwise(F.col("words"))
+        swap = F.struct(F.abs(F.col("left") - words).alias("off"), F.col("cell").alias("cell"), words.alias("words"))
+        fresh = F.col("g.source").eqNullSafe(F.col("c.source")) & ~F.array_contains("flips", F.col("cell"))
+        tried = (checkpointed(best).alias("g").join(c, fresh, "left")
+                 .groupBy("g.source", "source_size", "target", "copies", "cut", "left", "flips")
+                 .agg(F.min(swap).alias("swap")))
+        better = F.col("swap.off") < F.abs("left")
+        best = tried.select("source", "source_size", "target", "copies", "cut",
+                            F.when(better, F.col("left") - F.col("swap.words")).otherwise(F.col("left")).alias("left"),
+                            F.when(better, F.array_append("flips", F.col("swap.cell").cast("long")))
+                            .otherwise(F.col("flips")).alias("flips"))
+    return checkpointed(best.drop("left"))
 
 
 def _n_copies() -> Column:
-    return F.col("copies") + (F.col("cell") < F.col("cut")).cast("long")
+    return F.col("copies") + ((F.col("cell") < F.col("cut")) != F.array_contains("flips", F.col("cell"))).cast("long")
 
 
 def _with_plan(df: DataFrame, planned: DataFrame) -> DataFrame:
     """Null-safe join with the plan: one row per source, broadcast when it has
     few rows and left to a shuffle join beyond that."""
-    p = planned.select(F.col("source").alias("_source"), "source_size", "target", "copies", "cut")
+    p = planned.select(F.col("source").alias("_source"), "source_size", "target", "copies", "cut", "flips")
     return df.join(small(p), F.col("source").eqNullSafe(F.col("_source")), "left")
 
 

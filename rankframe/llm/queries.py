@@ -122,6 +122,21 @@ def _shard_sql() -> str:
     return f"CASE {_least([f'r{r}' for r in range(0, 24, 6)], '')} " + " ".join(regions) + " END"
 
 
+def _mend(k: int) -> str:
+    """The k-th mend of the mix: the cell that fits best changes sides."""
+    sign = "CASE WHEN k.cell < below THEN -k.words ELSE k.words END"
+    return f"""swap_{k} AS (
+  SELECT c.source, source_size, target, copies, below, missing, flips,
+    min((abs(missing - {sign}), k.cell, {sign})) FILTER (NOT list_contains(flips, k.cell)) AS swap
+  FROM {"cut" if k == 1 else f"mended_{k - 1}"} c JOIN words k ON c.source IS NOT DISTINCT FROM k.source GROUP BY ALL),
+mended_{k} AS (
+  SELECT source, source_size, target, copies, below,
+    missing - CASE WHEN swap[1] < abs(missing) THEN swap[3] ELSE 0 END AS missing,
+    CASE WHEN swap[1] < abs(missing) THEN list_append(flips, swap[2]) ELSE flips END AS flips FROM swap_{k})"""
+
+
+_MENDS = ",\n".join(_mend(k) for k in range(1, mixing.MENDS + 1))
+
 ORACLE: dict[str, str] = {
     "op1_chat_format": r"""
 WITH turns AS (
@@ -159,10 +174,14 @@ cells AS (
 cuts AS (
   SELECT r.source, r.source_size, r.target, r.copies, min((abs(upto - (target - copies * source_size)), upto, cell + 1)) AS near
   FROM rates r JOIN cells c ON r.source IS NOT DISTINCT FROM c.source GROUP BY ALL),
-cut AS (SELECT *, CASE WHEN near[1] < target - copies * source_size THEN near[3] ELSE 0 END AS below FROM cuts)
-SELECT doc_id, size, source_size, target, copies + (cell < below)::BIGINT AS n_copies,
-  (copies + (cell < below)::BIGINT) * size AS taken
-FROM sized s JOIN cut c ON s.source IS NOT DISTINCT FROM c.source""",
+cut AS (
+  SELECT source, source_size, target, copies, CASE WHEN near[1] < target - copies * source_size THEN near[3] ELSE 0 END AS below,
+    target - copies * source_size - CASE WHEN near[1] < target - copies * source_size THEN near[2] ELSE 0 END AS missing, []::BIGINT[] AS flips FROM cuts),
+words AS (SELECT source, cell, sum(size)::BIGINT AS words FROM sized GROUP BY source, cell),
+{_MENDS}
+SELECT doc_id, size, source_size, target, copies + ((cell < below) <> list_contains(flips, cell))::BIGINT AS n_copies,
+  (copies + ((cell < below) <> list_contains(flips, cell))::BIGINT) * size AS taken
+FROM sized s JOIN mended_{mixing.MENDS} c ON s.source IS NOT DISTINCT FROM c.source""",
     "op8_sharding": f"""
 WITH rows AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, '') AS id FROM documents),
 crc AS (SELECT {_CRC_TABLE} AS crc_table),
