@@ -145,7 +145,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
         several = groups.filter((F.col("n") > 2) & (F.col("n") <= bucket)).select("kept", "key")
         inside = (rows.join(several, ["kept", "key"]).groupBy("kept", "key")
                   .agg(F.collect_list("fp").alias("m"))  # at most `bucket` members
-                  .select(F.inline(forest("m"))))
+                  .select(F.inline_outer(forest("m"))).filter("a IS NOT NULL"))  # outer: evaluated once
         new = pairs.unionByName(inside)
         found = new if found is None else found.unionByName(new)
         large = groups.filter(F.col("n") > bucket).select("kept", "key")
