@@ -225,7 +225,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
         "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>>").alias("l")).limit(0)
     for index in indexes(items, threshold):
         found = found.unionByName(docs.select("doc_id", finder(index)("text").alias("l")))
-    return found.select("doc_id", F.inline("l"))
+    # outer: else the planner adds a filter that runs the search a second time
+    return found.select("doc_id", F.inline_outer("l")).filter(F.col("item_id").isNotNull())
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
