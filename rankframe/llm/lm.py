@@ -106,21 +106,23 @@ class Block:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences of as many bytes as the largest needs."""
+    """Sorted keys as the first one and the steps from key to key, each of as
+    many bytes as the largest step needs."""
     if not len(keys):
         return b""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    steps = np.diff(keys).astype("<u8")
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack_keys(packed: bytes) -> np.ndarray:
     if not packed:
         return np.zeros(0, np.uint64)
     width = packed[0]
-    low = np.frombuffer(packed, dtype=np.uint8, offset=1).reshape(-1, width)
-    full = np.zeros((len(low), 8), dtype=np.uint8)
-    full[:, :width] = low
+    low = np.frombuffer(packed, dtype=np.uint8, offset=9).reshape(-1, width)
+    full = np.zeros((len(low) + 1, 8), dtype=np.uint8)
+    full[0] = np.frombuffer(packed, dtype=np.uint8, offset=1, count=8)
+    full[1:, :width] = low
     return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
 
 
