@@ -39,6 +39,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .common import checkpointed, id_remainder
 
@@ -64,11 +65,11 @@ class _Numbers(dict):
 
 def numbered_tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of every token, the hash of each number (0: the end mark), and
-    the position after each text's last token."""
+    the position after each text's last token; ``texts`` as from ``squeezed``."""
     numbers = _Numbers({b"\n": 0})  # white space is no word
     out, ends, n = [np.zeros(0, np.int64)], [], 0
     for t in texts:
-        words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+        words = zlib.decompress(t).lower().split()
         words.append(b"\n")
         out.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)))
         n += len(words)
@@ -271,10 +272,24 @@ def _scores(model: Model):
 
 
 # ------------------------------------------------------------------------ jobs
+def squeeze(text: str) -> bytes:
+    return zlib.compress(text.encode("utf-8", "surrogatepass"), 1)
+
+
+def squeezed(text: "F.Column") -> "F.Column":
+    """Texts compressed one by one, for the shuffles."""
+    @pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(squeeze)
+    return packed(text)
+
+
 def dealt(docs: DataFrame, learned: "F.Column", blocks: int) -> DataFrame:
-    """(doc_id, text, learned, block); the block is a hash of the row."""
+    """(doc_id, text, learned, block), texts compressed; the block is a hash
+    of the row."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), learned.alias("learned"),
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), squeezed(text).alias("text"),
+                       learned.alias("learned"),
                        F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("int").alias("block"))
 
 

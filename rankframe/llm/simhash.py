@@ -132,6 +132,8 @@ def _forest(radius: int):
 def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fps`` (fp) that join all
     within ``radius`` of each other; every link is checked."""
+    if bucket < 128:
+        raise ValueError("a bucket that can't be cut further may hold 128 fingerprints")
     forest, more = _forest(radius), _next_masks(radius)
     masks = F.array(*[F.lit(m).cast("long") for m in covering_masks(radius)])
     rows = fps.select("fp", F.explode(masks).alias("kept"))
