@@ -2,8 +2,8 @@
 
 The nested field paths of a record (``messages[].role``) are hashed into a
 fingerprint; the fingerprint selects a declarative ``Mapping`` that says which
-paths hold the turns. Only paths that some mapping names count, so additional
-fields never change a fingerprint. Three families are covered:
+paths hold the turns. Only paths that some mapping names count, so other
+additional fields never change a fingerprint. Three families are covered:
 
 * *turn rows*: typed columns, one row per turn (conversation, order, role, text);
 * *message lists*: JSON records with an array of role / content objects;
@@ -87,7 +87,7 @@ class Mapping:
 _SPEAKERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"),
              ("model", "assistant"), ("prompter", "user"))
 MAPPINGS = (
-    Mapping("turn_rows", ("conv_id", "turn", "role", "text"),
+    Mapping("turn_rows", ("turn", "role", "text"),
             role="role", text="text", order="turn"),
     Mapping("messages", ("messages[].content", "messages[].role"), items="messages",
             role="role", text="content", roles=_SPEAKERS),
@@ -133,6 +133,26 @@ def fingerprint_table(mappings: Iterable[Mapping]) -> dict[str, Mapping]:
     return out
 
 
+class Mappings:
+    """Selects the mapping of a layout by its fingerprint. Where fields of
+    several layouts stand together the fingerprint is new: then the mapping
+    with the most required paths present is taken, the first listed of equals,
+    and remembered for that fingerprint."""
+
+    def __init__(self, mappings: Iterable[Mapping]):
+        self.listed = tuple(mappings)
+        self.words = vocabulary(self.listed)
+        self.known: dict[str, Mapping | None] = dict(fingerprint_table(self.listed))
+
+    def select(self, paths: Iterable[str]) -> tuple[str, Mapping | None]:
+        own = {p for p in paths if p in self.words}
+        fp = fingerprint_of(own)
+        if fp not in self.known:
+            fitting = [m for m in self.listed if own.issuperset(m.required)]
+            self.known[fp] = max(fitting, key=lambda m: len(m.required), default=None)
+        return fp, self.known[fp]
+
+
 def json_paths(value, prefix: str = "") -> Iterator[str]:
     """Leaf paths of a JSON value; array positions are written as []."""
     if isinstance(value, dict):
@@ -185,7 +205,7 @@ _JSON_SCHEMA = "conv_id long, fingerprint string, layout string, turn long, role
 
 
 def _json_rows(mappings: tuple[Mapping, ...]):
-    known, words = fingerprint_table(mappings), vocabulary(mappings)
+    layouts = Mappings(m for m in mappings if not m.order)  # turn rows come as typed columns
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -196,9 +216,8 @@ def _json_rows(mappings: tuple[Mapping, ...]):
                     record = json.loads(raw)
                 except (TypeError, ValueError):
                     record = None
-                fp = fingerprint_of(p for p in json_paths(record) if p in words)
-                m = known.get(fp)
-                if m is None or m.order:  # turn rows come as typed columns
+                fp, m = layouts.select(json_paths(record))
+                if m is None:
                     out.append((conv, fp, None, None, None, None))
                 else:
                     out += [(conv, fp, m.name, i, r, t) for i, (r, t) in enumerate(_turns(record, m))]
@@ -225,9 +244,7 @@ def canonical_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) ->
     if "record" in df.columns:
         return (canonical_records(df, mappings).filter(F.col("layout").isNotNull())
                 .select("conv_id", "turn", "role", "text"))
-    words = vocabulary(mappings)
-    fp = fingerprint_of(p for p in schema_paths(df.schema) if p in words)
-    m = fingerprint_table(mappings).get(fp)
+    _, m = Mappings(mappings).select(schema_paths(df.schema))
     if m is None:
         raise ValueError(f"no mapping for the layout {sorted(schema_paths(df.schema))}")
     if m.order:
