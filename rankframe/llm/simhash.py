@@ -14,9 +14,9 @@ Equal fingerprints are merged first, so copies never form pairs. Rows of a
 table that agree under its mask form a bucket. Inside a bucket only a
 spanning forest of the links is emitted, at most one link per member. A
 bucket above ``BUCKET`` members is cut again by covering masks over the bits
-that its members may still differ in; each cut halves those bits, so after
-few cuts a bucket holds at most 2^7 fingerprints, whatever the input. Links
-go to connected components.
+that its members may still differ in; every cut keeps more bits (about half
+of them), down to 2^7 possible fingerprints, so the cuts end whatever the
+input. Links go to connected components.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any
 other; fewer words than a shingle give one shingle of them all; a component
@@ -89,10 +89,12 @@ def _signed(x: int) -> int:
 
 def covering_masks(radius: int = RADIUS, free: int = (1 << BITS) - 1) -> list[int]:
     """Masks over the bits of ``free``; any ``radius`` of them are all left out
-    by some mask. A single mask of 0 when ``free`` has no more bits than that."""
+    by some mask. The unit vectors are dealt first, so with more than
+    ``radius`` free bits every mask keeps at least one of them."""
     n = (1 << (radius + 1)) - 1
+    vectors = sorted(range(1, n + 1), key=lambda m: (m.bit_count() > 1, m))
     bits = [i for i in range(BITS) if free >> i & 1]
-    vector = {b: k % n + 1 for k, b in enumerate(bits)}
+    vector = {b: vectors[k % n] for k, b in enumerate(bits)}
     return [_signed(sum(1 << b for b in bits if (vector[b] & v).bit_count() & 1)) for v in range(1, n + 1)]
 
 
