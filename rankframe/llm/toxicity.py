@@ -70,7 +70,7 @@ EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bins", "trash colle
 # --- end of fixed values ----------------------------------------------------------
 
 _SAME = {"l": "i"}
-_INSIDE = re.compile(r"(?<=\w)[@$](?=\w)")
+_INSIDE = re.compile(r"(?<=\w)[@$]+(?=\w)")
 
 
 class Folding(dict):
@@ -95,7 +95,7 @@ class Folding(dict):
 
 
 def _fold_inside(m: re.Match) -> str:
-    return "a" if m[0] == "@" else "s"
+    return m[0].replace("@", "a").replace("$", "s")
 
 
 def fold(text: str | None, table: Folding) -> str:

@@ -111,7 +111,8 @@ def test_quality_finds_hidden_negatives():
     model = quality.fit(x, trusted)
     fresh_good, fresh_bad = rng.normal(0, 1, (500, 6)), rng.normal(0, 1, (500, 6)) + [3, 0, 0, 2, 0, 0]
     assert abs(model.prior - 3000 / 3900) < 0.06
-    assert (model.score(fresh_good) >= 0.5).mean() > 0.93 and (model.score(fresh_bad) < 0.5).mean() > 0.93
+    # the best possible rule finds 92.9% of the bad and 98.5% of the good ones here
+    assert (model.score(fresh_good) >= 0.5).mean() > 0.96 and (model.score(fresh_bad) < 0.5).mean() > 0.90
 
 
 def test_non_negative_gradient_is_the_risks_derivative():
@@ -224,7 +225,7 @@ def test_anchors_and_edits_against_brute_force(odd_docs, spark):
     sample = [r for r in TEXTS if len(r[1] or "") < 40_000] + [(20, "ab" * 5000, "q"), (21, "x" * 16, "q"), (22, "y" * 15, "q")]
     docs = spark.createDataFrame(sample, "doc_id long, text string, source string")
     got_anchors = {}
-    for r in syncmers.document_anchors(docs.filter("doc_id <> 6")).collect():
+    for r in syncmers.document_anchors(docs.filter("doc_id IS DISTINCT FROM 6")).collect():
         got_anchors.setdefault(r.doc_id, []).append((r.pos, r.hash))
     for d, t, _ in sample:
         if d != 6:
@@ -290,9 +291,10 @@ def test_simhash_fingerprints():
 def test_covering_masks_cover():
     rng = random.Random(2)
     full = (1 << 64) - 1
-    for free in (full, full & ~0xFFFF0000FFFF, 0b1011011, 0):
+    for free in (full, full & ~0xFFFF0000FFFF, 0b1011011, 0b11111, 0):
         bits = [i for i in range(64) if free >> i & 1]
         masks = [m & full for m in simhash.covering_masks(4, free)]
+        assert len(bits) < 5 or all(masks)  # progress in every cut
         for _ in range(300):
             diff = sum(1 << b for b in rng.sample(bits, min(4, len(bits))))
             assert any(m & diff == 0 for m in masks)
