@@ -59,7 +59,8 @@ def parse_metric(name: str) -> Metric:
 
 def normalize_run(run: DataFrame, order_col: str | None = None) -> DataFrame:
     """Cast ids to string and score to double. With ``order_col``, duplicate
-    (qid, docno) rows keep the last row (highest order value)."""
+    (qid, docno) rows keep the last row (highest order value); without it
+    they are an error."""
     run = run.select(F.col("qid").cast("string").alias("qid"),
                      F.col("docno").cast("string").alias("docno"),
                      F.col("score").cast("double").alias("score"),
@@ -67,13 +68,24 @@ def normalize_run(run: DataFrame, order_col: str | None = None) -> DataFrame:
     if order_col:
         run = run.groupBy("qid", "docno").agg(
             F.max_by("score", order_col).alias("score"))
+    else:
+        run = _one_row(run, "score", "a run holds a (qid, docno) twice")
     return run
 
 
+def _one_row(df: DataFrame, value: str, message: str) -> DataFrame:
+    """``df`` with one row per (qid, docno); a second one fails the job."""
+    g = df.groupBy("qid", "docno").agg(F.max(value).alias(value), F.count("*").alias("_n"))
+    kind = g.schema[value].dataType
+    return g.select("qid", "docno", F.when(F.col("_n") > 1, F.raise_error(message).cast(kind))
+                    .otherwise(F.col(value)).alias(value))
+
+
 def normalize_qrels(qrels: DataFrame) -> DataFrame:
-    return qrels.select(F.col("qid").cast("string").alias("qid"),
-                        F.col("docno").cast("string").alias("docno"),
-                        F.col("label").cast("int").alias("label"))
+    return _one_row(qrels.select(F.col("qid").cast("string").alias("qid"),
+                                 F.col("docno").cast("string").alias("docno"),
+                                 F.col("label").cast("int").alias("label")),
+                    "label", "judgments hold a (qid, docno) twice")
 
 
 def _ideal_dcg(qrels: DataFrame, cutoffs: list[int | None]) -> DataFrame:

@@ -61,7 +61,7 @@ class Index:
     def write(self, path: str, mode: str = "errorifexists") -> "Index":
         """Write the index tables as parquet. Postings are range-partitioned
         and sorted by term so a term lookup reads few row groups."""
-        (self.postings.repartitionByRange("term").sortWithinPartitions("term", "docno")
+        (self.postings.repartitionByRange("term", "docno").sortWithinPartitions("term", "docno")
          .write.mode(mode).parquet(os.path.join(path, "postings")))
         self.lexicon.write.mode(mode).parquet(os.path.join(path, "lexicon"))
         self.doc_lengths.write.mode(mode).parquet(os.path.join(path, "doc_lengths"))
@@ -69,15 +69,16 @@ class Index:
         (self.stats_frame(spark).coalesce(1).write.mode(mode)
          .parquet(os.path.join(path, "collection_stats")))
         if self.positions is not None:
-            (self.positions.repartitionByRange("term").sortWithinPartitions("term", "docno")
+            (self.positions.repartitionByRange("term", "docno").sortWithinPartitions("term", "docno")
              .write.mode(mode).parquet(os.path.join(path, "positions")))
         return self
 
     @staticmethod
     def load(spark: SparkSession, path: str, analyzer: Analyzer = DEFAULT) -> "Index":
         stats_row = spark.read.parquet(os.path.join(path, "collection_stats")).first()
+        from ..sinks import path_exists
         pos_path = os.path.join(path, "positions")
-        positions = spark.read.parquet(pos_path) if os.path.exists(pos_path) else None
+        positions = spark.read.parquet(pos_path) if path_exists(spark, pos_path) else None
         return Index(
             postings=spark.read.parquet(os.path.join(path, "postings")),
             lexicon=spark.read.parquet(os.path.join(path, "lexicon")),

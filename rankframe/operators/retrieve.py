@@ -19,9 +19,6 @@ from ..functions.weighting import dirichlet_doc, model_fn
 from ..session import BROADCAST_MAX_ROWS, bounded_broadcast
 from .index import Index
 
-# Distinct query terms up to this many are also pushed to the scans as an
-# IN filter (parquet row-group skipping on term-sorted index files).
-PUSHDOWN_MAX_TERMS = 5_000
 
 
 def query_terms(topics: DataFrame, analyzer: Analyzer, query_col: str = "query") -> DataFrame:
@@ -49,18 +46,10 @@ class QueryTerms:
         self.df = qt.persist()
         self.rows = self.df.count()
         self.small = self.rows <= max_rows
-        self.terms = None
-        if self.small:
-            distinct = self.df.select("term").distinct()
-            if distinct.count() <= PUSHDOWN_MAX_TERMS:
-                self.terms = [r["term"] for r in distinct.collect()]
 
     def side(self) -> DataFrame:
         return bounded_broadcast(self.df, known_rows=self.rows)
 
-    def restrict(self, df: DataFrame) -> DataFrame:
-        return df.filter(F.col("term").isin(self.terms)) if self.terms is not None else df
-
 
 def _as_qt(q) -> QueryTerms:
     return q if isinstance(q, QueryTerms) else QueryTerms(q)
@@ -70,9 +59,9 @@ def matched_postings(postings: DataFrame, lexicon: DataFrame, q) -> DataFrame:
     """(qid, term, qtf, qlen, df, cf, docno, tf, dl) for every posting of a
     query term."""
     q = _as_qt(q)
-    qlex = q.restrict(lexicon).join(q.side(), "term")
+    qlex = lexicon.join(q.side(), "term")
     qlex = bounded_broadcast(qlex, known_rows=q.rows) if q.small else qlex
-    return q.restrict(postings).join(qlex, "term")
+    return postings.join(qlex, "term")
 
 
 def score_matches(index: Index, q, models=("BM25",), postings: DataFrame | None = None,

@@ -26,12 +26,16 @@ from pyspark.sql import functions as F
 
 from ..operators.retrieve import rank_within
 from ..session import ensure_checkpoint_dir
+from ..sinks import path_exists
 
 
 class Stage:
-    def __init__(self, fn, name: str = "stage"):
+    def __init__(self, fn, name: str = "stage", key: str | None = None):
+        """``key`` tells stages of the same display name apart: it holds every
+        parameter that changes the result."""
         self.fn = fn
         self.name = name
+        self.key = key or name
 
     def __call__(self, df: DataFrame) -> DataFrame:
         return self.fn(df)
@@ -39,14 +43,19 @@ class Stage:
     transform = __call__
 
     def __rshift__(self, other: "Stage") -> "Stage":
-        return Stage(lambda df: other(self(df)), f"({self.name} >> {other.name})")
+        return Stage(lambda df: other(self(df)), f"({self.name} >> {other.name})",
+                     f"({self.key} >> {other.key})")
 
     def __mod__(self, k: int) -> "Stage":
-        return Stage(lambda df: rank_within(self(df).drop("rank"), k), f"({self.name} % {k})")
+        return Stage(lambda df: rank_within(self(df).drop("rank"), k), f"({self.name} % {k})",
+                     f"({self.key} % {k})")
 
     def __mul__(self, w: float) -> "Stage":
-        return Stage(lambda df: self(df).withColumn("score", F.col("score") * F.lit(float(w))),
-                     f"({w} * {self.name})")
+        def scaled(df: DataFrame) -> DataFrame:
+            out = self(df).withColumn("score", F.col("score") * F.lit(float(w)))
+            # a negative weight turns the order round
+            return rank_within(out.drop("rank")) if "rank" in out.columns else out
+        return Stage(scaled, f"({w} * {self.name})", f"({w} * {self.key})")
 
     __rmul__ = __mul__
 
@@ -61,13 +70,14 @@ class Stage:
         return UnionStage(parts)
 
     def fingerprint(self) -> str:
-        return hashlib.md5(self.name.encode()).hexdigest()[:16]
+        return hashlib.md5(self.key.encode()).hexdigest()[:16]
 
 
 class SumStage(Stage):
     def __init__(self, parts):
         self.parts = parts
-        super().__init__(self._run, " + ".join(p.name for p in parts))
+        super().__init__(self._run, " + ".join(p.name for p in parts),
+                         "(" + " + ".join(p.key for p in parts) + ")")
 
     def _run(self, df: DataFrame) -> DataFrame:
         runs = [p(df).select("qid", "docno", F.col("score").cast("double").alias("score"))
@@ -86,7 +96,8 @@ class UnionStage(Stage):
 
     def __init__(self, parts):
         self.parts = parts
-        super().__init__(self._run, " ** ".join(p.name for p in parts))
+        super().__init__(self._run, " ** ".join(p.name for p in parts),
+                         "(" + " ** ".join(p.key for p in parts) + ")")
 
     def _run(self, df: DataFrame) -> DataFrame:
         base = self.parts[0](df)
@@ -117,10 +128,7 @@ def cached(st: Stage, path: str | None = None) -> Stage:
         base = path or os.path.join(ensure_checkpoint_dir(spark), "rankframe-cache")
         loc = os.path.join(base, st.fingerprint())
         keys = topics.select("qid", "query")
-        try:
-            have = spark.read.parquet(loc)
-        except Exception:  # noqa: BLE001 — no cache yet
-            have = None
+        have = spark.read.parquet(loc) if path_exists(spark, loc) else None
         if have is not None:
             misses = keys.join(have.select("qid", "query").distinct(), ["qid", "query"], "left_anti")
         else:
@@ -131,4 +139,4 @@ def cached(st: Stage, path: str | None = None) -> Stage:
         out = spark.read.parquet(loc).join(keys, ["qid", "query"], "left_semi")
         return out.drop("query")
 
-    return Stage(run, f"cached({st.name})")
+    return Stage(run, f"cached({st.name})", f"cached({st.key})")

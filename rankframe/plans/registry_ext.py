@@ -17,7 +17,7 @@ from ..operators import rewrite as rw
 from ..session import ensure_checkpoint_dir
 from ..sources import collection as col
 from .algebra import Stage, cached
-from .context import ctx
+from .context import QUERY_ANALYZER, ctx
 from .registry import DISPLAY_METRICS, EVAL_DEPTH, TOPK, _eval_run, _run, query, r6
 
 SYSTEMS = ["BM25", "TF_IDF", "DirichletLM"]
@@ -155,7 +155,8 @@ def q_rewrite_eval(spark, d):
 # --------------------------------------------------------------- algebra --
 
 def _stage(c, model, k):
-    return Stage(lambda topics: rt.retrieve(c.index(), topics, model, k), model)
+    return Stage(lambda topics: rt.retrieve(c.index(), topics, model, k), model,
+                 f"{model}@{k}|{QUERY_ANALYZER}|{c.sf_dir}")
 
 
 @query("rank_cutoff")
@@ -334,7 +335,7 @@ def q_interpolate(spark, d):
 
 def _grid(c):
     runs = dn.alpha_grid_runs(_dense_run(c))
-    dev = col.topic_split(c.topics).filter(F.col("split") != "test").select("qid")
+    dev = col.topic_split(c.topics).filter(F.col("split") == "dev").select("qid")
     runs = runs.join(F.broadcast(dev), "qid", "left_semi")
     keyed = runs.select(F.concat_ws("|", F.col("alpha").cast("string"), "qid").alias("qid"),
                         "docno", "score")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -32,7 +32,7 @@ def save_trec_run(run: DataFrame, save_dir: str, name: str, save_mode: str = "re
     instead of recomputing, ``overwrite`` rewrites it."""
     spark = run.sparkSession
     path = os.path.join(save_dir, name)
-    if save_mode == "reuse" and _exists(spark, path):
+    if save_mode == "reuse" and path_exists(spark, path):
         return read_trec_run(spark, path)
     trec_lines(run, name).write.mode("overwrite").text(path)
     return read_trec_run(spark, path)
@@ -56,7 +56,7 @@ def write_metrics_csv(metrics_long: DataFrame, order: list[str], path: str,
 def write_metrics_if_absent(metrics_long: DataFrame, order: list[str], path: str) -> bool:
     """Stub writer: only writes when no file exists yet; returns whether it
     wrote."""
-    if _exists(metrics_long.sparkSession, path):
+    if path_exists(metrics_long.sparkSession, path):
         return False
     write_metrics_csv(metrics_long, order, path, mode="errorifexists")
     return True

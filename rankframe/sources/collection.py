@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN_PATTERN, Analyzer, raw_tokens
-from ..session import BROADCAST_MAX_ROWS, bounded_broadcast
+from ..session import bounded_broadcast
 
 # --- fixed values ---------------------------------------------------------------
 TITLE_PATTERN = r"(?s)<title>(.*?)</title>"
@@ -28,6 +28,7 @@ TAG_PATTERN = r"<[^>]*>"
 # topic split: bucket = first 4 hex digits of md5(qid) mod 10
 SPLIT_TRAIN_MAX = 5
 SPLIT_DEV_MAX = 7
+LITERAL_BLOCK = 500  # topics checked in one expression
 # --- end of fixed values ----------------------------------------------------------
 
 
@@ -56,7 +57,7 @@ def containment_qrels(corpus_df: DataFrame, topics_df: DataFrame, index,
     check runs only on candidates, on the document side of a join whose
     other side is size-checked. Topics without an indexable interior token
     (fewer than three tokens, or only stopwords) are checked directly against
-    each document as a bounded literal list.
+    each document in literal blocks of LITERAL_BLOCK topics, however many there are.
     """
     an: Analyzer = index.analyzer
     tq = topics_df.select("qid", "query", raw_tokens(F.col("query")).alias("toks"))
@@ -82,17 +83,21 @@ def containment_qrels(corpus_df: DataFrame, topics_df: DataFrame, index,
                .filter(F.col("text").contains(F.col("query")))
                .select("qid", "docno"))
 
-    # topics with no anchor: bounded literal list checked per document
-    no_anchor = topics_df.select("qid", "query").join(anchors, "qid", "left_anti")
-    n_no = no_anchor.count()
-    if n_no:
-        if n_no > 10_000:
-            raise ValueError("too many topics without an indexable interior token")
-        lits = [F.struct(F.lit(r["qid"]).alias("qid"), F.lit(r["query"]).alias("query"))
-                for r in no_anchor.collect()]
-        extra = docs.select("docno", F.explode(F.filter(
-            F.array(*lits), lambda s: F.col("text").contains(s["query"]))).alias("m"))
-        matched = matched.unionByName(extra.select(F.col("m.qid").alias("qid"), "docno"))
+    # a topic with an interior term that no document holds can't match
+    hopeless = kept.join(index.lexicon.select("term"), "term", "left_anti").select("qid").distinct()
+    # the rest without an anchor are short: a stated set of queries, checked
+    # against all documents block by block
+    short = (topics_df.select("qid", "query").join(anchors, "qid", "left_anti")
+             .join(hopeless, "qid", "left_anti"))
+    block: list = []
+    for r in [*short.toLocalIterator(), None]:
+        if r is not None:
+            block.append(F.struct(F.lit(r["qid"]).alias("qid"), F.lit(r["query"]).alias("query")))
+        if block and (r is None or len(block) == LITERAL_BLOCK):
+            held = docs.select("docno", F.explode(F.filter(
+                F.array(*block), lambda s: F.col("text").contains(s["query"]))).alias("m"))
+            matched = matched.unionByName(held.select(F.col("m.qid").alias("qid"), "docno"))
+            block = []
 
     matched = matched.distinct()
     if labels is None:
