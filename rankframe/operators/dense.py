@@ -64,11 +64,13 @@ def dense_score(run: DataFrame, qvec: DataFrame, dvec: DataFrame,
     """Candidates ⋈ vectors → score = q·d (MAXP when a document has several
     vectors: max over them); previous score kept as ``score_0``; re-ranked."""
     cand = run.select("qid", "docno", F.col("score").alias("score_0"))
-    cand = bounded_broadcast(cand)
     qv = qvec.select(F.col("id").alias("qid"), F.col("vector").alias("qv"))
     dv = dvec.select(F.col(doc_key).alias("docno"), F.col("vector").alias("dv"))
-    j = dv.join(cand, "docno").join(bounded_broadcast(qv), "qid")
-    s = j.groupBy("qid", "docno", "score_0").agg(F.max(dot(F.col("qv"), F.col("dv"))).alias("score"))
+    j = dv.join(bounded_broadcast(cand.select("qid", "docno")), "docno").join(bounded_broadcast(qv), "qid")
+    s = j.groupBy("qid", "docno").agg(F.max(dot(F.col("qv"), F.col("dv"))).alias("score"))
+    # a candidate without a vector (its coordinates cancel) scores 0 and stays
+    s = cand.join(s, ["qid", "docno"], "left").select(
+        "qid", "docno", "score_0", F.coalesce("score", F.lit(0.0)).alias("score"))
     # + 0.0 turns a rounded -0.0 into 0.0
     return rank_within(s.withColumn("score", F.round("score", 6) + F.lit(0.0)))
 

@@ -409,8 +409,7 @@ DENSE = BASE + add_run("BM25", 100, "cand") + "," + hsparse("topics", "qid", "qu
 dots AS (SELECT c.qid, c.docno, SUM(q.value * d.value) AS s FROM cand c JOIN qv q ON q.id = c.qid
          JOIN dv d ON d.id = c.docno AND d.dim = q.dim GROUP BY c.qid, c.docno),
 dn0 AS (SELECT c.qid, c.docno, c.score AS score_0, round(COALESCE(x.s, 0.0), 6) + 0.0 AS score FROM cand c
-        LEFT JOIN dots x ON x.qid = c.qid AND x.docno = c.docno
-        WHERE c.docno IN (SELECT id FROM dv) AND c.qid IN (SELECT id FROM qv)),
+        LEFT JOIN dots x ON x.qid = c.qid AND x.docno = c.docno),
 dn AS (SELECT qid, docno, score_0, score,
               CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno ASC) - 1 AS BIGINT) AS rank FROM dn0)"""
 ORACLE["dense_rerank"] = DENSE + " SELECT qid, docno, score_0, score, rank FROM dn"
@@ -423,7 +422,7 @@ pdots AS (SELECT c.qid, pd.pid, pd.docno, COALESCE(SUM(q.value * v.value), 0.0)
           FROM cand c JOIN pdoc pd ON pd.docno = c.docno JOIN qv q ON q.id = c.qid
           LEFT JOIN pv v ON v.id = pd.pid AND v.dim = q.dim GROUP BY c.qid, pd.pid, pd.docno),
 mx AS (SELECT qid, docno, MAX(s) AS s FROM pdots GROUP BY qid, docno),
-m0 AS (SELECT c.qid, c.docno, c.score AS score_0, round(x.s, 6) + 0.0 AS score FROM cand c JOIN mx x ON x.qid = c.qid AND x.docno = c.docno)
+m0 AS (SELECT c.qid, c.docno, c.score AS score_0, round(COALESCE(x.s, 0.0), 6) + 0.0 AS score FROM cand c LEFT JOIN mx x ON x.qid = c.qid AND x.docno = c.docno)
 SELECT qid, docno, score_0, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno ASC) - 1 AS BIGINT) AS rank FROM m0"""
 INTERP = DENSE + """,
 ip AS (SELECT qid, docno, score_0, round(CAST(0.3 AS DOUBLE) * score_0 + CAST(0.7 AS DOUBLE) * score, 9) AS score FROM dn),
