@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT, Analyzer
 
+ANALYZER_SCHEMA = "stopwords string, stemmer string, max_term_length int"
+
 
 @dataclass
 class Index:
@@ -35,6 +37,7 @@ class Index:
     analyzer: Analyzer
     positions: DataFrame | None = None
     extra: dict = field(default_factory=dict)
+    surface: DataFrame | None = None   # (term, cf) of unstemmed forms; the lexicon without a stemmer
 
     # -- statistics -------------------------------------------------------
     @property
@@ -71,19 +74,45 @@ class Index:
         if self.positions is not None:
             (self.positions.repartitionByRange("term", "docno").sortWithinPartitions("term", "docno")
              .write.mode(mode).parquet(os.path.join(path, "positions")))
+        if self.surface is not None:
+            self.surface.write.mode(mode).parquet(os.path.join(path, "surface"))
+        # written last: an index with an analyzer table is complete
+        (spark.createDataFrame([(self.analyzer.stopwords, self.analyzer.stemmer, self.analyzer.max_term_length)],
+                               ANALYZER_SCHEMA)
+         .coalesce(1).write.mode(mode).parquet(os.path.join(path, "analyzer")))
         return self
 
     @staticmethod
-    def load(spark: SparkSession, path: str, analyzer: Analyzer = DEFAULT) -> "Index":
-        stats_row = spark.read.parquet(os.path.join(path, "collection_stats")).first()
+    def load(spark: SparkSession, path: str, analyzer: Analyzer | None = None) -> "Index":
+        """Reopen a written index with the analyzer it was built with; another
+        ``analyzer`` is an error, for its terms would not be found."""
         from ..sinks import path_exists
+        stats_row = spark.read.parquet(os.path.join(path, "collection_stats")).first()
+        stored = Analyzer(**spark.read.parquet(os.path.join(path, "analyzer")).first().asDict())
+        if analyzer is not None and analyzer != stored:
+            raise ValueError(f"{path} was indexed with {stored}, not {analyzer}")
+        surface_path = os.path.join(path, "surface")
         pos_path = os.path.join(path, "positions")
         positions = spark.read.parquet(pos_path) if path_exists(spark, pos_path) else None
         return Index(
             postings=spark.read.parquet(os.path.join(path, "postings")),
             lexicon=spark.read.parquet(os.path.join(path, "lexicon")),
             doc_lengths=spark.read.parquet(os.path.join(path, "doc_lengths")),
-            stats=stats_row.asDict(), analyzer=analyzer, positions=positions)
+            stats=stats_row.asDict(), analyzer=stored, positions=positions,
+            surface=spark.read.parquet(surface_path) if path_exists(spark, surface_path) else None)
+
+    @staticmethod
+    def open_or_build(corpus: DataFrame, path: str, analyzer: Analyzer = DEFAULT, force: bool = False,
+                      **options) -> "Index":
+        """The index at ``path``, built from ``corpus`` and written if it is
+        missing or ``force`` is set."""
+        from ..sinks import path_exists
+        spark = corpus.sparkSession
+        if force or not path_exists(spark, os.path.join(path, "analyzer")):
+            built = build_index(corpus, analyzer, **options)
+            built.write(path, mode="overwrite")
+            built.unpersist()
+        return Index.load(spark, path, analyzer)
 
     def persist(self) -> "Index":
         lvl = StorageLevel.MEMORY_AND_DISK
@@ -95,7 +124,7 @@ class Index:
         return self
 
     def unpersist(self) -> None:
-        for df in (self.postings, self.lexicon, self.doc_lengths, self.positions):
+        for df in (self.postings, self.lexicon, self.doc_lengths, self.positions, self.surface):
             if df is not None:
                 df.unpersist()
 
@@ -144,15 +173,17 @@ def build_index(corpus: DataFrame, analyzer: Analyzer = DEFAULT,
                                F.col("dl").cast("bigint").alias("dl"))
     lexicon = postings.groupBy("term").agg(
         F.count("*").cast("bigint").alias("df"), F.sum("tf").cast("bigint").alias("cf"))
+    surface = lexicon.select("term", "cf") if analyzer.stemmer is None else (
+        raw.groupBy(F.col("raw").alias("term")).agg(F.sum("tf").cast("bigint").alias("cf")))
 
     pos_df = None
     if positions:
         pos_df = (analysed_tokens(corpus, analyzer, text_col, with_positions=True)
-                  .groupBy("term", "docno")
+                  .groupBy("term", "docno", "dl")
                   .agg(F.array_sort(F.collect_list("pos")).alias("pos")))
 
     idx = Index(postings, lexicon, doc_lengths, {}, analyzer, pos_df,
-                extra={"corpus": corpus.select("docno", F.col(text_col).alias("text"))})
+                extra={"corpus": corpus.select("docno", F.col(text_col).alias("text"))}, surface=surface)
     if persist:
         idx.persist()
     idx.stats = collection_statistics(idx)
@@ -170,16 +201,18 @@ def collection_statistics(idx: Index) -> dict:
 
 
 def term_positions(idx: Index, terms: DataFrame) -> DataFrame:
-    """(term, docno, p) for the given (bounded) set of terms only: from the
+    """(term, docno, dl, p) for the given (bounded) set of terms only: from the
     positional index when it was built, otherwise by one positional
     tokenisation of the corpus filtered map-side to those terms."""
     from ..session import bounded_broadcast
     t = bounded_broadcast(terms.select("term").distinct())
     if idx.positions is not None:
         return (idx.positions.join(t, "term")
-                .select("term", "docno", F.explode("pos").alias("p")))
+                .select("term", "docno", "dl", F.explode("pos").alias("p")))
+    if "corpus" not in idx.extra:
+        raise ValueError("the index holds no positions: build it with positions=True")
     toks = analysed_tokens(idx.extra["corpus"], idx.analyzer, "text", with_positions=True)
-    return toks.join(t, "term").select("term", "docno", F.col("pos").alias("p"))
+    return toks.join(t, "term").select("term", "docno", "dl", F.col("pos").alias("p"))
 
 
 def doc_term_bags(idx: Index) -> DataFrame:

@@ -3,8 +3,8 @@
 * ``apply_query``: Column-builder rewrite, the previous query pushed to
   ``query_0`` (earlier ones shift to ``query_1``…).
 * SDM: unigram / ordered-pair / unordered-window clauses; pair
-  "pseudo-postings" come from an equi-join of term positions on
-  (docno, pos + offset) — bounded fan-out (window width), never all pairs.
+  "pseudo-postings" come from the next few wanted positions of each wanted
+  position in its document — bounded fan-out (window width), never all pairs.
 * Bo1 and RM3 pseudo-relevance feedback over the top feedback documents.
 * Spelling: unknown query words ⋈ corpus lexicon through deletion-neighbourhood
   keys (equi-join), verified by Levenshtein distance.
@@ -80,9 +80,12 @@ def sanitize_topics(topics: DataFrame) -> DataFrame:
 
 def sdm_clauses(topics: DataFrame, analyzer: Analyzer) -> DataFrame:
     """(qid, kind, clause, a, b, weight): unigrams, ordered adjacent pairs and
-    unordered pairs of the analysed query, with their SDM weights."""
-    t = topics.select(F.col("qid").cast("string").alias("qid"),
-                      analyzer.tokens(F.col("query")).alias("toks"))
+    unordered pairs of the analysed (stemmed) query, with their SDM weights."""
+    raw = topics.select(F.col("qid").cast("string").alias("qid"),
+                        F.posexplode(analyzer.tokens(F.col("query"))).alias("pos", "raw"))
+    t = (analyzer.stem_frame(raw, "raw", "term")
+         .groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("at"))
+         .select("qid", F.col("at.term").alias("toks")))
     uni = t.select("qid", F.explode("toks").alias("a")).select(
         "qid", F.lit("u").alias("kind"), F.col("a").alias("clause"), "a",
         F.lit(None).cast("string").alias("b"))
@@ -108,24 +111,24 @@ def sdm_clauses(topics: DataFrame, analyzer: Analyzer) -> DataFrame:
 def pair_postings(index: Index, pairs: DataFrame) -> DataFrame:
     """(clause, docno, tf, dl) for the distinct pair clauses (kind o / w).
 
-    Positions of the pair terms only (broadcast filter), then an equi-join on
-    (term, docno, pos) against the first term's positions shifted by every
-    allowed offset (1 for ordered, ±1..±7 for the window)."""
+    The positions of the pair terms are filtered on the map side and shuffled
+    once, by document. Fewer than SDM_WINDOW of them can follow a position
+    inside the window, so the next SDM_WINDOW - 1 rows hold all its partners."""
     pairs = pairs.select("kind", "clause", "a", "b").distinct()
-    n_pairs = pairs.persist().count()
     terms = (pairs.select(F.col("a").alias("term")).union(pairs.select(F.col("b").alias("term")))
              .distinct())
-    pos = term_positions(index, terms).persist()   # used by both join sides
-    offsets = F.when(F.col("kind") == "o", F.array(F.lit(1))).otherwise(
-        F.array(*[F.lit(o) for o in range(-(SDM_WINDOW - 1), SDM_WINDOW) if o != 0]))
-    left = (pos.join(bounded_broadcast(pairs, known_rows=n_pairs),
-                     F.col("term") == F.col("a"))
-            .select("clause", "b", "docno", F.explode(
-                F.transform(offsets, lambda o: F.col("p") + o)).alias("p2")))
-    right = pos.select(F.col("term").alias("b"), "docno", F.col("p").alias("p2"))
-    hits = left.join(right, ["b", "docno", "p2"])
-    tf = hits.groupBy("clause", "docno").agg(F.count("*").cast("bigint").alias("tf"))
-    return tf.join(index.doc_lengths, "docno")
+    here = Window.partitionBy("docno").orderBy("p")
+    near = term_positions(index, terms).select("docno", "dl", "term", "p", F.array(*[
+        F.lead(F.struct("term", "p"), d).over(here) for d in range(1, SDM_WINDOW)]).alias("next"))
+    near = near.select("docno", "dl", F.col("term").alias("t1"), "p", F.explode("next").alias("n"))
+    near = near.select("docno", "dl", "t1", F.col("n.term").alias("t2"), (F.col("n.p") - F.col("p")).alias("gap"))
+    both = (near.filter(F.col("gap") < SDM_WINDOW)
+            .select("docno", "dl", F.explode(F.array(
+                F.struct(F.col("t1").alias("a"), F.col("t2").alias("b"), (F.col("gap") == 1).alias("ordered")),
+                F.struct(F.col("t2").alias("a"), F.col("t1").alias("b"), F.lit(False).alias("ordered"))))
+                .alias("h")).select("docno", "dl", "h.*"))
+    hits = both.join(bounded_broadcast(pairs), ["a", "b"]).filter(F.col("ordered") | (F.col("kind") == "w"))
+    return hits.groupBy("clause", "docno", "dl").agg(F.count("*").cast("bigint").alias("tf"))
 
 
 def sdm_query(index: Index, topics: DataFrame):
@@ -221,18 +224,19 @@ def _deletions(word: Column, max_del: int = SPELL_MAX_EDITS) -> Column:
 
 def spell_correct(topics: DataFrame, index: Index, known_extra: list[str] = (),
                   max_edits: int = SPELL_MAX_EDITS) -> DataFrame:
-    """Correct each word (split on a single space) that is not a known term:
-    best lexicon term within ``max_edits`` by (distance, -cf, term); unknown
+    """Correct each word (split on a single space) that is not a known surface
+    form: best form within ``max_edits`` by (distance, -cf, form); unknown
     words without a candidate stay. Output (qid, query, query_0)."""
     words = topics.select(F.col("qid").cast("string").alias("qid"), "query",
                           F.posexplode(F.split(F.col("query"), " ")).alias("pos", "word"))
-    lex = index.lexicon.select("term", "cf")
+    lex = index.surface.select("term", "cf")
     known = lex.select(F.col("term").alias("word"))
     if known_extra:
         spark = topics.sparkSession
         known = known.unionByName(spark.createDataFrame([(w,) for w in known_extra], "word string"))
     unknown = (words.select("word").distinct().join(known, "word", "left_anti")
-               .filter(F.length("word") > 0))
+               # a longer word is more than max_edits from every indexed form
+               .filter(F.length("word").between(1, index.analyzer.max_term_length + max_edits)))
     ukeys = unknown.select("word", F.explode(_deletions(F.col("word"), max_edits)).alias("key"))
     n_uk = ukeys.persist().count()
     lkeys = lex.select("term", "cf", F.explode(_deletions(F.col("term"), max_edits)).alias("key"))

@@ -24,7 +24,8 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.retrieve import rank_within
+from ..operators.index import Index
+from ..operators.retrieve import rank_within, rescore, retrieve
 from ..session import ensure_checkpoint_dir
 from ..sinks import path_exists
 
@@ -73,6 +74,29 @@ class Stage:
         return hashlib.md5(self.key.encode()).hexdigest()[:16]
 
 
+class Retriever(Stage):
+    """Retrieval with one weighting model as a stage. Topics (qid, query, ...)
+    give the k best documents; a run with its ``query`` is scored anew, its own
+    documents only (old score in ``score_0``). The query and the other columns
+    of the input stay, so that stages compose. A cutoff lowers k itself."""
+
+    def __init__(self, index: Index, model: str = "BM25", k: int = 1000, source: str = ""):
+        self.index, self.model, self.k, self.source = index, model, k, source
+        super().__init__(self._run, model, f"{model}@{k}|{index.analyzer}|{source}")
+
+    def __mod__(self, k: int) -> "Stage":
+        return Retriever(self.index, self.model, min(k, self.k), self.source)
+
+    def _run(self, df: DataFrame) -> DataFrame:
+        if "docno" not in df.columns:
+            return retrieve(self.index, df, self.model, self.k).join(
+                df.withColumn("qid", F.col("qid").cast("string")), "qid")
+        topics = df.select("qid", "query").distinct()
+        kept = df.drop("score", "rank", "score_0")
+        again = rescore(self.index, df, topics, self.model)
+        return rank_within(again.drop("rank"), self.k).join(kept, ["qid", "docno"])
+
+
 class SumStage(Stage):
     def __init__(self, parts):
         self.parts = parts
@@ -134,7 +158,9 @@ def cached(st: Stage, path: str | None = None) -> Stage:
         else:
             misses = keys
         if misses.limit(1).count():
-            fresh = st(misses).join(misses, "qid")
+            fresh = st(misses)
+            if "query" not in fresh.columns:
+                fresh = fresh.join(misses, "qid")
             fresh.write.mode("append").parquet(loc)
         out = spark.read.parquet(loc).join(keys, ["qid", "query"], "left_semi")
         return out.drop("query")

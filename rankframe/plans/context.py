@@ -12,7 +12,7 @@ from ..sources import collection as col
 
 # Analyzer of the registered queries: the SQL oracle has no stemmer offline,
 # so the driver queries index with stopwords and no stemming; the Porter path
-# is covered by unit tests and the `porter_stem` / `bm25_porter` keys.
+# is covered by tests and the `porter_stem` / `bm25_porter` keys.
 QUERY_ANALYZER = STOP_ONLY
 
 _CACHE: dict = {}

@@ -67,10 +67,12 @@ FROM pos GROUP BY term, docno"""
 ORACLE["fielded_postings"] = f"""
 WITH w AS (SELECT CAST(page_id AS VARCHAR) AS docno,
                   regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
-                  trim(regexp_replace(regexp_extract(html, '(?s)<p>(.*?)</p>', 1), '<[^>]*>', ' ', 'g')) AS abstract
+                  trim(regexp_replace(array_to_string(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), ' '),
+                    '<[^>]*>', ' ', 'g')) AS abstract, url
            FROM pages),
 f AS (SELECT docno, 'title' AS field, COALESCE(title, '') AS text FROM w
-      UNION ALL SELECT docno, 'abstract' AS field, COALESCE(abstract, '') AS text FROM w)
+      UNION ALL SELECT docno, 'abstract' AS field, COALESCE(abstract, '') AS text FROM w
+      UNION ALL SELECT docno, 'url' AS field, COALESCE(url, '') AS text FROM w)
 SELECT field, term, docno, CAST(COUNT(*) AS BIGINT) AS tf
 FROM (SELECT docno, field, unnest({toks('text')}) AS term FROM f) GROUP BY field, term, docno"""
 ORACLE["doc_meta"] = """
@@ -98,6 +100,15 @@ SELECT qid, docno, score_0, score,
 FROM j"""
 
 
+ORACLE["rerank_pipeline"] = run_ctes("BM25", 100, name="cand") + """,
+pl AS (SELECT qid, docno, SUM(""" + model_sql("PL2") + """) AS s
+       FROM m WHERE (qid, docno) IN (SELECT qid, docno FROM cand) GROUP BY qid, docno),
+j AS (SELECT c.qid, c.docno, c.score AS score_0, round(COALESCE(p.s, 0.0), 6) AS score
+      FROM cand c LEFT JOIN pl p ON p.qid = c.qid AND p.docno = c.docno),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno ASC) - 1 AS BIGINT) AS rank FROM j)
+SELECT qid, docno, score_0, score, rank FROM ranked WHERE rank < 20"""
+
+
 def _multi():
     return run_ctes("BM25", 10) + f""",
 f AS (SELECT qid, docno, round(SUM({model_sql('PL2')}), 6) AS f_pl2,
@@ -176,12 +187,11 @@ def q(s: str) -> str:
 
 
 CONV = """
-cu AS (SELECT conv_id, text FROM conversations WHERE role = 'user'
-       QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),
-ca AS (SELECT conv_id, text FROM conversations WHERE role = 'assistant'
-       QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),
-conv AS (SELECT CAST(cu.conv_id AS VARCHAR) AS qid, cu.text AS query, ca.text AS raw
-         FROM cu LEFT JOIN ca ON ca.conv_id = cu.conv_id)"""
+seq AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations
+        WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+conv AS (SELECT conv_id, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS qid, text AS query,
+           CASE WHEN next_role = 'assistant' THEN next_text END AS raw
+         FROM seq WHERE role = 'user' AND text IS NOT NULL)"""
 
 BASE = "WITH " + index_ctes() + ",\n" + TOPICS + "," + qterms_cte() + "," + matched_cte()
 
@@ -286,15 +296,15 @@ _exp_user = _rw.EXPANSION_USER_TEMPLATE.split("%s")
 _mul_user = _rw.MULTI_USER_TEMPLATE.split("%s")
 _rw_user = _rw.REWRITE_USER_TEMPLATE.split("%s")
 ORACLE["build_prompts"] = "WITH " + CONV + """,
-sy AS (SELECT CAST(conv_id AS VARCHAR) AS qid, text AS context FROM conversations WHERE role = 'system'
-       QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)
+sy AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS context FROM conversations
+       WHERE role = 'system' GROUP BY conv_id)
 SELECT c.qid, """ + q(_rw.EXPANSION_SYSTEM_PROMPT) + " AS system_prompt, " + \
     q(_exp_user[0]) + " || c.query || " + q(_exp_user[1]) + " AS user_prompt, " + \
     q(_rw.MULTI_SYSTEM_TEMPLATE % 3) + " AS multi_system, " + \
     q(_mul_user[0]) + " || c.query || " + q(_mul_user[1]) + " AS multi_user, " + \
     q(_rw.REWRITE_SYSTEM_PROMPT) + " AS rewrite_system, " + \
     q(_rw_user[0]) + " || COALESCE(s.context, '') || " + q(_rw_user[1]) + " || c.query || " + \
-    q(_rw_user[2]) + " AS rewrite_user FROM conv c LEFT JOIN sy s ON s.qid = c.qid"
+    q(_rw_user[2]) + " AS rewrite_user FROM conv c LEFT JOIN sy s ON s.conv_id = c.conv_id"
 ORACLE["clean_generation"] = "WITH " + CONV + f""",
 ls AS (SELECT qid, {lines('raw')} AS l FROM conv WHERE raw IS NOT NULL)
 SELECT qid, CAST(i - 1 AS BIGINT) AS line_no, {clean('line')} AS cleaned

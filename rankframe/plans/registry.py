@@ -142,7 +142,7 @@ def q_positions(spark, d):
 @query("fielded_postings")
 def q_fielded_postings(spark, d):
     wide = col.wide_documents(spark, d)
-    return ix.fielded_postings(wide, ["title", "abstract"], STOP_ONLY)
+    return ix.fielded_postings(wide, ["title", "abstract", "url"], STOP_ONLY)
 
 
 @query("doc_meta")
@@ -187,6 +187,12 @@ def q_bm25_raw(spark, d):
     return _run(ctx(spark, d), "BM25", analyzer=RAW)
 
 
+@query("bm25_porter")
+def q_bm25_porter(spark, d):
+    """The reference's default analysis: stopwords and Porter stems."""
+    return _run(ctx(spark, d), "BM25", analyzer=DEFAULT)
+
+
 @query("search_one")
 def q_search_one(spark, d):
     c = ctx(spark, d)

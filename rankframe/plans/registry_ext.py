@@ -16,10 +16,11 @@ from ..operators import retrieve as rt
 from ..operators import rewrite as rw
 from ..session import ensure_checkpoint_dir
 from ..sources import collection as col
-from .algebra import Stage, cached
-from .context import QUERY_ANALYZER, ctx
+from .algebra import Retriever, Stage, cached
+from .context import ctx
 from .registry import DISPLAY_METRICS, EVAL_DEPTH, TOPK, _eval_run, _run, query, r6
 
+RUN_COLUMNS = ["qid", "docno", "score", "rank"]
 SYSTEMS = ["BM25", "TF_IDF", "DirichletLM"]
 
 
@@ -105,11 +106,7 @@ def q_spell(spark, d):
 @query("build_prompts")
 def q_prompts(spark, d):
     c = ctx(spark, d)
-    conv = c.t("conversations")
-    sysmsg = (conv.filter(F.col("role") == "system").groupBy("conv_id")
-              .agg(F.min_by("text", "turn").alias("context"))
-              .select(F.col("conv_id").cast("string").alias("qid"), "context"))
-    t = _conv(c).join(sysmsg, "qid", "left")
+    t = _conv(c).join(col.conversation_context(spark, d), "conv_id", "left")
     return rw.build_prompts(t, 3, F.col("context"))
 
 
@@ -155,14 +152,21 @@ def q_rewrite_eval(spark, d):
 # --------------------------------------------------------------- algebra --
 
 def _stage(c, model, k):
-    return Stage(lambda topics: rt.retrieve(c.index(), topics, model, k), model,
-                 f"{model}@{k}|{QUERY_ANALYZER}|{c.sf_dir}")
+    return Retriever(c.index(), model, k, c.sf_dir)
 
 
 @query("rank_cutoff")
 def q_rank_cutoff(spark, d):
     c = ctx(spark, d)
-    return (_stage(c, "BM25", 100) % 5)(c.topics)
+    return (_stage(c, "BM25", 100) % 5)(c.topics).select(*RUN_COLUMNS)
+
+
+@query("rerank_pipeline")
+def q_rerank_pipeline(spark, d):
+    """Composition: the 100 best by BM25, scored anew by PL2, the best kept."""
+    c = ctx(spark, d)
+    pipe = _stage(c, "BM25", 100) >> _stage(c, "PL2", 100) % 20
+    return pipe(c.topics).select("qid", "docno", "score_0", "score", "rank")
 
 
 @query("linear_combine")
@@ -177,8 +181,8 @@ def q_feature_union(spark, d):
     c = ctx(spark, d)
     idx = c.index()
     bm = _stage(c, "BM25", TOPK)
-    pl2 = Stage(lambda t: rt.rescore(idx, bm(t), t, "PL2"), "PL2")
-    dph = Stage(lambda t: rt.rescore(idx, bm(t), t, "DPH"), "DPH")
+    pl2 = bm >> Retriever(idx, "PL2", TOPK, c.sf_dir)
+    dph = bm >> Retriever(idx, "DPH", TOPK, c.sf_dir)
     out = (bm ** pl2 ** dph)(c.topics)
     return out.select("qid", "docno", "score", "rank", *[F.col("features")[i].alias(f"f{i}")
                                                           for i in range(3)])

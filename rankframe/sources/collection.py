@@ -6,14 +6,13 @@ Roles (ids are strings at comparison time):
   qrels    documents ⋈ benchmark on containment of the topic text,
            label = 1 + 2·quality (labels table, missing = 0)
   wide     pages(page_id, url, html)           → (docno, title, abstract, url)
-  conversations(conv_id, turn, role, text)     → topics (first user turn) and a
-           generations table (first assistant turn) for query expansion
+  conversations(conv_id, turn, role, text)     → topics (every user turn) and a
+           generations table (the assistant turn after it) for query expansion
 """
 
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -114,13 +113,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as a fielded corpus: title from <title>, abstract = first <p>
-    with tags removed, url."""
+    """Pages as a fielded corpus: title from <title>, abstract = the text of
+    every <p>, tags removed, url."""
     p = table(spark, sf_dir, "pages")
     return p.select(
         F.col("page_id").cast("string").alias("docno"),
         F.regexp_extract("html", TITLE_PATTERN, 1).alias("title"),
-        F.trim(F.regexp_replace(F.regexp_extract("html", PARAGRAPH_PATTERN, 1),
+        F.trim(F.regexp_replace(F.array_join(F.regexp_extract_all("html", F.lit(PARAGRAPH_PATTERN), 1), " "),
                                 TAG_PATTERN, " ")).alias("abstract"),
         "url")
 
@@ -139,17 +138,23 @@ def regex_split(pages: DataFrame, pattern: str = PARAGRAPH_PATTERN) -> DataFrame
 
 
 def conversation_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, query, raw): first user turn as the query and the first
-    assistant turn as the raw generation (null when the conversation has
-    none). One partial-aggregated groupBy(conv_id)."""
+    """(qid, query, raw, conv_id): every user turn as a query, ``qid`` being
+    ``conv:turn``, with the text of the assistant turn right after it as the
+    raw generation (null when another turn or none follows)."""
     c = table(spark, sf_dir, "conversations")
-    g = c.groupBy("conv_id").agg(
-        F.min_by(F.when(F.col("role") == "user", F.col("text")),
-                 F.when(F.col("role") == "user", F.col("turn"))).alias("query"),
-        F.min_by(F.when(F.col("role") == "assistant", F.col("text")),
-                 F.when(F.col("role") == "assistant", F.col("turn"))).alias("raw"))
-    return g.filter(F.col("query").isNotNull()).select(
-        F.col("conv_id").cast("string").alias("qid"), "query", "raw")
+    after = F.lead(F.struct("role", "text")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    g = c.withColumn("after", after).filter((F.col("role") == "user") & F.col("text").isNotNull())
+    return g.select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"),
+        F.col("text").alias("query"),
+        F.when(F.col("after.role") == "assistant", F.col("after.text")).alias("raw"), "conv_id")
+
+
+def conversation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, context): the system turns of a conversation, in order, by line."""
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "system")
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("context"))
 
 
 def split_bucket(qid) -> "F.Column":
@@ -173,10 +178,3 @@ def misspell_expr(q) -> "F.Column":
                       F.concat(t.substr(F.lit(1), p - 1), t.substr(p + 1, F.length(t)))
                       ).otherwise(t)
     return F.array_join(F.transform(F.split(q, " "), drop), " ")
-
-
-@dataclass
-class Collection:
-    corpus: DataFrame
-    topics: DataFrame
-    qrels: DataFrame
