@@ -1,8 +1,8 @@
 """Porter (1980) stemmer as Spark column expressions.
 
-Each step is one CASE expression over the previous step's column, so the
-stemmer runs inside whole-stage codegen with Java regexes; it is meant to be
-applied to *distinct* terms (a vocabulary) and joined back, never per token.
+Each step is one CASE expression over the previous step's word, evaluated in
+the JVM with Java regexes; the stemmer is meant to be applied to *distinct*
+terms (a vocabulary) and joined back, never per token.
 
 Conventions: the word is lower case; a ``y`` that acts as a consonant is
 marked as upper-case ``Y`` before the steps and lowered at the end, so the
@@ -44,13 +44,18 @@ def _stem(w: Column, n: int) -> Column:
     return w.substr(F.lit(1), F.length(w) - n)
 
 
+def _bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` bound to a lambda variable: the steps name
+    their word many times, and a plain chain of them would grow exponentially
+    whenever the optimizer pushes a condition on the stem through it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def _mark_y(w: Column) -> Column:
     # y at the start, or after a vowel, is a consonant (Y). Runs of y alternate.
-    w = F.regexp_replace(w, r"^y", "Y")
-    w = F.regexp_replace(w, r"(?<=[aeiou](?:yy){0,8})y", "Y")
-    w = F.regexp_replace(w, r"(?<=^Y(?:yy){0,8}y)y", "Y")
-    w = F.regexp_replace(w, r"(?<=[^aeiouyY]y(?:yy){0,8})y", "Y")
-    return w
+    marked = F.aggregate(F.split(w, ""), F.lit(""), lambda done, ch: F.concat(
+        done, F.when((ch == "y") & ((done == "") | done.rlike(f"{V}$")), F.lit("Y")).otherwise(ch)))
+    return F.when(w.contains("y"), marked).otherwise(w)
 
 
 def _step1a(w: Column) -> Column:
@@ -61,29 +66,16 @@ def _step1a(w: Column) -> Column:
             .otherwise(w))
 
 
-def _step1b(df: DataFrame, c: str) -> DataFrame:
-    w = F.col(c)
-    flag = "__p1b"
-    df = df.withColumn(
-        flag,
-        F.when(w.endswith("eed"), F.lit(0))
-        .when(w.rlike(f"{V}.*ed$"), F.lit(1))
-        .when(w.rlike(f"{V}.*ing$"), F.lit(2))
-        .otherwise(F.lit(0)))
-    df = df.withColumn(
-        c,
-        F.when(w.rlike(f"{M_GT0}.*eed$"), _stem(w, 1))
-        .when(F.col(flag) == 1, _stem(w, 2))
-        .when(F.col(flag) == 2, _stem(w, 3))
-        .otherwise(w))
-    w = F.col(c)
-    fix = (F.when(w.endswith("at") | w.endswith("bl") | w.endswith("iz"),
-                  F.concat(w, F.lit("e")))
-           .when(w.rlike(r"([^aeiouylsz])\1$"), _stem(w, 1))
-           .when(w.rlike(f"^{C}*{V}+{C}+$") & w.rlike(CVC_END),
-                 F.concat(w, F.lit("e")))
-           .otherwise(w))
-    return df.withColumn(c, F.when(F.col(flag) > 0, fix).otherwise(w)).drop(flag)
+def _step1b(w: Column) -> Column:
+    def fix(w: Column) -> Column:
+        return (F.when(w.endswith("at") | w.endswith("bl") | w.endswith("iz"), F.concat(w, F.lit("e")))
+                .when(w.rlike(r"([^aeiouylsz])\1$"), _stem(w, 1))
+                .when(w.rlike(f"^{C}*{V}+{C}+$") & w.rlike(CVC_END), F.concat(w, F.lit("e")))
+                .otherwise(w))
+    return (F.when(w.endswith("eed"), F.when(w.rlike(f"{M_GT0}.*eed$"), _stem(w, 1)).otherwise(w))
+            .when(w.rlike(f"{V}.*ed$"), _bind(_stem(w, 2), fix))
+            .when(w.rlike(f"{V}.*ing$"), _bind(_stem(w, 3), fix))
+            .otherwise(w))
 
 
 def _step1c(w: Column) -> Column:
@@ -127,21 +119,23 @@ def _step5b(w: Column) -> Column:
     return F.when(w.endswith("ll") & w.rlike(M_GT1), _stem(w, 1)).otherwise(w)
 
 
+def _unmark(w: Column) -> Column:
+    return F.regexp_replace(w, "Y", "y")
+
+
+STEPS = (_mark_y, _step1a, _step1b, _step1c, lambda w: _suffix_step(w, STEP2, M_GT0),
+         lambda w: _suffix_step(w, STEP3, M_GT0), _step4, _step5, _step5b, _unmark)
+
+
+def porter_stem(word: Column) -> Column:
+    """Porter stem of a lower-case word; words of one or two characters are
+    left unchanged, null stays null."""
+    out = word
+    for step in STEPS:
+        out = _bind(out, step)
+    return F.when(F.length(word) <= 2, word).otherwise(out)
+
+
 def porter_stem_frame(df: DataFrame, src: str, dst: str) -> DataFrame:
-    """Add ``dst`` = Porter stem of lower-case word column ``src``.
-
-    Words of one or two characters are left unchanged.
-    """
-    c = "__porter"
-    df = df.withColumn(c, _mark_y(F.col(src)))
-    df = df.withColumn(c, _step1a(F.col(c)))
-    df = _step1b(df, c)
-    df = df.withColumn(c, _step1c(F.col(c)))
-    df = df.withColumn(c, _suffix_step(F.col(c), STEP2, M_GT0))
-    df = df.withColumn(c, _suffix_step(F.col(c), STEP3, M_GT0))
-    df = df.withColumn(c, _step4(F.col(c)))
-    df = df.withColumn(c, _step5(F.col(c)))
-    df = df.withColumn(c, _step5b(F.col(c)))
-    return (df.withColumn(dst, F.when(F.length(F.col(src)) <= 2, F.col(src))
-                          .otherwise(F.regexp_replace(F.col(c), "Y", "y")))
-            .drop(c))
+    """Add ``dst`` = Porter stem of lower-case word column ``src``."""
+    return df.withColumn(dst, porter_stem(F.col(src)))
