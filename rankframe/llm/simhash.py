@@ -20,8 +20,9 @@ input. Links go to connected components.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any
 other; fewer words than a shingle give one shingle of them all; a component
-is named by its smallest doc_id (null only if it has no other); repeated
-rows are equal texts; an empty table gives an empty result.
+is named by its smallest doc_id (null only if it has no other), so components
+of null ids, or of one id with several texts, may share a name and stay
+apart; repeated rows are equal texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -160,7 +161,8 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, text_hash, fp, component_id for every row."""
+    """doc_id, text_hash, fp, root, component_id for every row; ``root``, a
+    fingerprint, tells the components apart, which component_id may not."""
     own = checkpointed(docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
                                    fingerprint(width)("text").alias("fp")))
     fps = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
@@ -168,7 +170,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     named = checkpointed(fps.join(roots, F.col("fp") == F.col("node"), "left")
                          .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     names = checkpointed(named.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    by_fp = checkpointed(named.join(names, "root").select("fp", "component_id"))
+    by_fp = checkpointed(named.join(names, "root").select("fp", "root", "component_id"))
     return own.join(by_fp, "fp")
 
 
@@ -176,7 +178,7 @@ def keep_first(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> D
     """``docs`` with one row of each component: of those with its smallest
     doc_id the one with the smallest text hash."""
     found = near_duplicates(docs, width, radius)
-    kept = checkpointed(found.groupBy("component_id").agg(
+    kept = checkpointed(found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("r"))
         .select(F.col("r.doc_id").alias("_id"), F.col("r.text_hash").alias("_hash"), F.lit(1).alias("_one")))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc_id"),

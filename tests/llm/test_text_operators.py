@@ -344,6 +344,15 @@ def test_near_duplicates_odd_cases(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_first(no_docs).count() == 0
 
 
+def test_components_of_one_name_each_keep_a_row(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(40)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, d), (7, e), (8, e), (None, None), (None, "")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text or "") for r in kept) == Counter(
+        [(None, a), (None, b), (None, c), (7, d), (7, e), (None, "")])
+
+
 # ---------------------------------------------------------------------- mixing
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, limit=2.0):
     """Shares by weight, the excess over the limits shared again and again."""
