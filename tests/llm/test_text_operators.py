@@ -252,6 +252,27 @@ def test_syncmers_odd_cases(spark, odd_docs, no_docs):
     assert alone.near_next == 1.0
 
 
+def test_short_texts_without_a_syncmer_keep_their_own_hash(spark):
+    rng = random.Random(13)
+    texts = ["".join(rng.choices("abcdefghij klmnop", k=n)) for n in range(16, 25) for _ in range(12)]
+    bare = [t for t in texts if not brute_anchors(t)]
+    assert len(bare) > 15 and len(set(texts)) == len(texts)
+    own = lambda t: brute_anchors(t) or [(0, xxhash.xxh64_intdigest(t.encode(), 42))]
+    docs = spark.createDataFrame([*enumerate(texts), (-1, "")], "doc_id long, text string")
+    out = {r.doc_id: r for r in syncmers.edited_fingerprints(docs, 3, every=True).collect()}
+    assert [d for d, r in out.items() if r.fingerprint == ""] == [-1]
+    assert len({out[i].fingerprint for i in range(len(texts))}) == len(texts)
+    for i, t in enumerate(texts):
+        after = texts[i - 1] if i else ""
+        e = t[:len(t) - len(t) // 2] + after[:len(t) // 2]
+        fps = [brute_fingerprint(own(x)) if x else "" for x in (t, e, after)]
+        assert (out[i].fingerprint, out[i].edited_fingerprint) == (fps[0], fps[1])
+        assert (out[i].near_edited, out[i].near_next) == (brute_likeness(fps[0], fps[1]), brute_likeness(fps[0], fps[2]))
+    long = spark.createDataFrame([(2, "z" * 50), (1, bare[0])], "doc_id long, text string")
+    taken = syncmers.edited_fingerprints(long, every=True).filter("doc_id = 2").first()  # takes all of a text without a syncmer
+    assert taken.edited_fingerprint == brute_fingerprint(brute_anchors("z" * 25 + bare[0]))
+
+
 # --------------------------------------------------------------------- simhash
 def brute_simhash(text):
     words = (text or "").encode().lower().split()
