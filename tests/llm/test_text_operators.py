@@ -273,6 +273,33 @@ def test_short_texts_without_a_syncmer_keep_their_own_hash(spark):
     assert taken.edited_fingerprint == brute_fingerprint(brute_anchors("z" * 25 + bare[0]))
 
 
+def brute_passage(t, after):
+    """The longest chain of anchors that the other text holds, neighbour by neighbour."""
+    if t == after:
+        return len(t)
+    own, other = (sorted(brute_anchors(x)) if len(x) >= syncmers.K else [] for x in (t, after))
+    links = {(h, q - p, g) for (p, h), (q, g) in zip(other, other[1:])}
+    best, start = 0, None
+    for (p, h), (q, g) in zip(own, own[1:]):
+        start = None if (h, q - p, g) not in links else p if start is None else start
+        best = max(best, 0 if start is None else q + syncmers.K - start)
+    return best
+
+
+def test_passages_in_long_texts_are_matched_by_position(spark):
+    rng = random.Random(14)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
+    shared, x = words(60), words(4000)
+    texts = [f"{words(5000)} {shared} {words(3000)}", f"{words(2500)} {shared} {words(4000)}", words(900), x, x, "", "ab" * 300,
+             "ab" * 200, "short one", x[500:9000] + words(9) + x[9100:15000], x, words(40) + x[300:340] + words(40), x]
+    docs = spark.createDataFrame([(100 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {100 - r.doc_id: r for r in syncmers.edited_fingerprints(docs, 3, every=True, passages=True).collect()}
+    assert [out[i].passage_next for i in range(len(texts))] == [
+        brute_passage(t, texts[(i + 1) % len(texts)]) for i, t in enumerate(texts)]
+    assert out[0].near_next < 0.05 and len(shared) - 2 * 25 <= out[0].passage_next <= len(shared) + 2
+    assert out[3].passage_next == len(x) and out[9].passage_next > 8400 and out[10].passage_next >= 16 and out[1].passage_next == 0
+
+
 # --------------------------------------------------------------------- simhash
 def brute_simhash(text):
     words = (text or "").encode().lower().split()
