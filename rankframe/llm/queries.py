@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, divergence, lm, mixing, quality, secret_scan, sharding, simhash, syncmers, toxicity
+from . import (
+    alignment, chat, decontaminate, divergence, lm, mixing, personal_data, quality, secret_scan, sharding, simhash,
+    syncmers, toxicity)
 from .common import documents, id_remainder, table
 
 # --- fixed values ---------------------------------------------------------------
@@ -84,6 +86,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return personal_data.find(table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How two tokenizers' tokens line up in every document."""
     return alignment.Aligned(table(spark, sf_dir, "documents")).documents()
@@ -96,8 +103,8 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_quality_pu, op4_toxicity, op5_syncmers,
-                            op6_simhash, op7_mixing, op8_sharding, op9_secrets, op10_lm_score, op12_alignment,
-                            op13_source_divergence)}
+                            op6_simhash, op7_mixing, op8_sharding, op9_secrets, op10_lm_score, op11_personal_data,
+                            op12_alignment, op13_source_divergence)}
 
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
