@@ -13,9 +13,10 @@ at its ends, placeholders, other kinds in the same text). Candidates whose
 votes agree are one cell, so at most 3^8 cells a kind are kept, whatever the
 corpus.
 
-*Expectation-maximisation* estimates, without any label, how often each
-labeler votes each way on personal data and on other text, and the share of
-personal data per kind. A step is one aggregation of the cells; only the
+*Expectation-maximisation* estimates, without any label, per kind the share of
+personal data and how often each labeler votes each way on personal data and
+on other text. An abstention says nothing, and no labeler is believed to mean
+the opposite of its vote. A step is one aggregation of the cells; only the
 parameters return.
 
 *The span classifier* is a logistic regression (MLlib) on features that the
@@ -39,6 +40,7 @@ points.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -94,9 +96,9 @@ RESERVED = r"^(?:0|10|127|255|2[2-4][0-9])\.|^192\.168\.|^169\.254\."
 TOP_LEVEL = r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|ch|at|it|nl|us|ca|mx|ar|co|me)$"
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$"
 LABELERS = ("shape", "checksum", "gazetteer", "cue", "against", "edges", "placeholder", "company")
-STEPS, TOLERANCE, PSEUDO = 25, 1e-3, 2.0
+STEPS, TOLERANCE, PSEUDO = 25, 1e-3, 10.0
 FEATURES = ("kind", "length", "digits", "left", "right", "word")
-HASHED, WORD_BUCKETS = 1024, 64
+HASHED, WORD_BUCKETS, RIDGE = 1024, 64, 0.05
 THRESHOLD = 0.5
 # --- end of fixed values ----------------------------------------------------------
 
@@ -147,7 +149,7 @@ def mod97(value: Column) -> Column:
     def step(left: Column, c: Column) -> Column:
         code = F.ascii(c)
         return F.when(code >= 65, (left * 100 + code - 55) % 97).otherwise((left * 10 + code - 48) % 97)
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), step) == 1
+    return F.aggregate(F.regexp_extract_all(turned, F.lit("."), F.lit(0)), F.lit(0), step) == 1
 
 
 def digits_of(value: Column) -> Column:
@@ -232,44 +234,52 @@ def votes(found: DataFrame) -> DataFrame:
 # ------------------------------------------------------- expectation-maximisation
 @dataclass(frozen=True)
 class Reliability:
-    """prior[kind]: share of personal data; rate[labeler][class][vote]."""
+    """prior[kind]: share of personal data; rate[kind][labeler][class][vote]."""
     prior: dict[str, float]
-    rate: dict[str, dict[int, dict[int, float]]]
+    rate: dict[str, dict[str, dict[int, dict[int, float]]]]
+
+    def weight(self, kind: str, labeler: str, vote: int) -> float:
+        """What a vote adds to the log odds: nothing against its own sense."""
+        r = self.rate[kind][labeler]
+        return vote * max(0.0, vote * math.log(r[1][vote] / r[0][vote])) if vote else 0.0
 
     def posterior(self) -> Column:
         """Probability that a candidate with its votes is personal data."""
         odds = F.lit(0.0)
         for k, p in self.prior.items():
-            odds = F.when(F.col("kind") == k, F.log(F.lit(p / (1 - p)))).otherwise(odds)
-        for name, by_class in self.rate.items():
-            ratio = {v: by_class[1][v] / by_class[0][v] for v in (1, 0, -1)}
-            odds = odds + F.when(F.col(name) == 1, F.log(F.lit(ratio[1]))).when(
-                F.col(name) == 0, F.log(F.lit(ratio[0]))).otherwise(F.log(F.lit(ratio[-1])))
+            one = F.lit(math.log(p / (1 - p)))
+            for name in LABELERS:
+                one = one + F.when(F.col(name) == 1, self.weight(k, name, 1)).when(
+                    F.col(name) == -1, self.weight(k, name, -1)).otherwise(0.0)
+            odds = F.when(F.col("kind") == k, one).otherwise(odds)
         return 1 / (1 + F.exp(-odds))
 
 
 def starting() -> Reliability:
-    return Reliability({k: 0.5 for k in KINDS}, {name: {c: dict(r) for c, r in _STARTING.items()} for name in LABELERS})
+    return Reliability({k: 0.5 for k in KINDS}, {
+        k: {name: {c: dict(r) for c, r in _STARTING.items()} for name in LABELERS} for k in KINDS})
 
 
 def em_step(cells: DataFrame, now: Reliability) -> Reliability:
-    """One step over the cells (kind, votes, n); counts are smoothed by PSEUDO
-    candidates as the start has them, so that no rate is 0."""
-    c = cells.select("*", (F.col("n") * now.posterior()).alias("yes"))
-    sums = [F.sum(F.when(F.col(name) == v, F.col(x))).alias(f"{name}{v}{x}")
+    """One step over the cells (kind, votes, n). Rates are smoothed by PSEUDO
+    candidates as the start has them: none is 0, and a rare kind stays near it."""
+    c = cells.withColumn("yes", F.col("n") * now.posterior())
+    sums = [F.sum(F.when(F.col(name) == v, F.col(x)).otherwise(0)).alias(f"{name}{v}{x}")
             for name in LABELERS for v in (1, 0, -1) for x in ("yes", "n")]
-    by_kind = [F.sum(F.when(F.col("kind") == k, F.col(x))).alias(f"{k}_{x}") for k in KINDS for x in ("yes", "n")]
-    got = c.agg(*sums, *by_kind, F.sum("yes").alias("yes"), F.sum("n").alias("n")).first().asDict()
-    got = {k: float(v or 0) for k, v in got.items()}
-    whole = {1: got["yes"], 0: got["n"] - got["yes"]}
-
-    def of(name: str, cls: int, v: int) -> float:
-        yes = got[f"{name}{v}yes"]
-        held = yes if cls else got[f"{name}{v}n"] - yes
-        return (max(held, 0.0) + PSEUDO * _STARTING[cls][v]) / (whole[cls] + PSEUDO)
-    return Reliability(
-        {k: (got[f"{k}_yes"] + PSEUDO / 2) / (got[f"{k}_n"] + PSEUDO) for k in KINDS},
-        {name: {cls: {v: of(name, cls, v) for v in (1, 0, -1)} for cls in (1, 0)} for name in LABELERS})
+    got = {r["kind"]: r for r in c.groupBy("kind").agg(*sums, F.sum("yes").alias("yes"), F.sum("n").alias("n")).collect()}
+    prior, rate = {}, {}
+    for k in KINDS:  # at most one row per kind
+        r = got.get(k)
+        whole = {1: r["yes"], 0: r["n"] - r["yes"]} if r else {1: 0.0, 0: 0.0}
+
+        def held(name: str, cls: int, v: int) -> float:
+            if not r:
+                return 0.0
+            return max(r[f"{name}{v}yes"] if cls else r[f"{name}{v}n"] - r[f"{name}{v}yes"], 0.0)
+        prior[k] = (whole[1] + PSEUDO / 2) / (whole[0] + whole[1] + PSEUDO)
+        rate[k] = {name: {cls: {v: (held(name, cls, v) + PSEUDO * _STARTING[cls][v]) / (whole[cls] + PSEUDO)
+                                for v in (1, 0, -1)} for cls in (1, 0)} for name in LABELERS}
+    return Reliability(prior, rate)
 
 
 def learn_reliability(cells: DataFrame, steps: int = STEPS) -> Reliability:
@@ -278,7 +288,8 @@ def learn_reliability(cells: DataFrame, steps: int = STEPS) -> Reliability:
     for _ in range(steps):
         new = em_step(cells, now)
         moved = max(*(abs(new.prior[k] - now.prior[k]) for k in KINDS),
-                    *(abs(new.rate[name][c][v] - now.rate[name][c][v]) for name in LABELERS for c in (0, 1) for v in (1, 0, -1)))
+                    *(abs(new.rate[k][name][c][v] - now.rate[k][name][c][v])
+                      for k in KINDS for name in LABELERS for c in (0, 1) for v in (1, 0, -1)))
         now = new
         if moved < TOLERANCE:
             break
@@ -308,13 +319,14 @@ def learn_classifier(found: DataFrame, reliability: Reliability):
     """Logistic regression on the cells of the features; None without candidates."""
     cells = checkpointed(found.withColumn("yes", reliability.posterior()).groupBy(*FEATURES)
                          .agg(F.sum("yes").alias("yes"), F.count("*").alias("n")))
-    if cells.isEmpty():
+    total = cells.agg(F.sum("n")).first()[0]
+    if not total:
         return None
     both = cells.select(*FEATURES, F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("yes").alias("weight")),
         F.struct(F.lit(0.0).alias("label"), F.greatest(F.col("n") - F.col("yes"), F.lit(0.0)).alias("weight")))).alias("x"))
     train = _hasher().transform(both.select(*FEATURES, "x.label", "x.weight").filter("weight > 0"))
-    return LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=50).fit(train)
+    return LogisticRegression(weightCol="weight", regParam=RIDGE / total, maxIter=50).fit(train)
 
 
 def with_score(found: DataFrame, model) -> DataFrame:
