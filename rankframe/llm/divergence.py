@@ -21,8 +21,8 @@ as many salts as the number of counts asks for, and each task adds up the
 divergences of ``SOURCES`` sources against all of the language, chunk by chunk
 in NumPy, so that a task sends sums and no pair of a single term.
 
-Rows: a text adds one row per occurrence to a map-side combined count; after
-that only (lang, source, term) counts move.
+Terms are counted inside the tasks that read the texts, so that only
+(lang, source, term) counts move, combined once more before the shuffle.
 
 Defined cases: a null text, lang or source is empty; a group without kept
 terms takes part in pairs with count 0 for each of them; a language without
@@ -33,6 +33,10 @@ order; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,8 +45,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 # --- fixed values ---------------------------------------------------------------
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+HELD = 300_000         # distinct terms that a task gathers before it hands them on
 MIN_DOCS = 10
 SCALE = 1_000_000_000
 TOP = 10               # ranks of the terms of a group
@@ -52,15 +56,39 @@ CHUNK = 2_000_000      # shares that a task compares at once
 # --- end of fixed values ----------------------------------------------------------
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, first): every term of every document; ``first``
-    marks one occurrence of each distinct term of the document."""
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    terms = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
-                        F.sort_array(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))).alias("terms"))
-    marked = F.transform("terms", lambda t, i: F.struct(
-        t.alias("term"), (~F.get("terms", i - 1).eqNullSafe(t)).cast("int").alias("first")))
-    return terms.select("lang", "source", F.inline(marked))
+_COUNTED = "lang string, source string, term string, n long, docs long"
+
+
+def _rows(counts: dict) -> pd.DataFrame:
+    frames = [pd.DataFrame({"lang": lang, "source": source, "term": [t.decode() for t in n], "n": list(n.values()),
+                            "docs": [docs[t] for t in n]}) for (lang, source), (n, docs) in counts.items()]
+    return pd.concat(frames) if frames else pd.DataFrame(columns=[c.split()[0] for c in _COUNTED.split(", ")])
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Occurrences and documents of each term, per (lang, source), of a task's
+    documents; handed on whenever HELD of them are gathered."""
+    counts, held = {}, 0
+    for batch in batches:
+        for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
+            # bytes.lower changes A-Z alone, and all bytes of non-ASCII characters are above 0x7F
+            terms = _TERM.findall(text.encode().lower())
+            n, docs = counts.setdefault((lang, source), (Counter(), Counter()))
+            held -= len(n)
+            n.update(terms)
+            docs.update(set(terms))
+            held += len(n)
+            if held > HELD:
+                yield _rows(counts)
+                counts, held = {}, 0
+    yield _rows(counts)
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, n, docs): occurrences of each term, and documents with it."""
+    texts = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    return (texts.mapInPandas(_count, _COUNTED).groupBy("lang", "source", "term")
+            .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -84,8 +112,7 @@ class Audit:
     """Counts of the kept terms, checkpointed, and the sizes around them."""
 
     def __init__(self, docs: DataFrame, min_docs: int = MIN_DOCS):
-        counts = checkpointed(occurrences(docs).groupBy("lang", "source", "term").agg(
-            F.count("*").alias("n"), F.sum("first").alias("docs")))
+        counts = checkpointed(counted(docs))
         kept = (counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
                 .filter(F.col("docs") >= min_docs).drop("docs"))
         self.held = checkpointed(counts.drop("docs").join(kept, ["lang", "term"]))

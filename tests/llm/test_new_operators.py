@@ -3,6 +3,7 @@ import hashlib
 import os
 import random
 import re
+import string
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -220,7 +221,7 @@ def test_large_groups_are_cut(monkeypatch):
 
 # -------------------------------------------------------------------- divergence
 def brute_audit(rows, min_docs):
-    terms = lambda t: [x.translate(str.maketrans(divergence.UPPER, divergence.LOWER))
+    terms = lambda t: [x.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
                        for x in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
     df, counts = defaultdict(Counter), defaultdict(Counter)
     groups = set()
@@ -264,6 +265,7 @@ def test_divergence_against_brute_force(spark, no_docs, min_docs, monkeypatch):
     assert rows_of(divergence.audit_sources(docs, min_docs)) == want
     monkeypatch.setattr(divergence, "SOURCES", 2)      # several blocks of sources and salts
     monkeypatch.setattr(divergence, "SALT_COUNTS", 100)
+    monkeypatch.setattr(divergence, "HELD", 20)
     monkeypatch.setattr(divergence, "CHUNK", 40)
     monkeypatch.setattr(divergence.compare, "__defaults__", (2,))
     assert rows_of(divergence.audit_sources(docs, min_docs)) == want
