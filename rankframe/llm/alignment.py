@@ -11,9 +11,11 @@ linked.
 
 A is the byte-level vocabulary of a ``tokenizers`` file; its merges run in
 ``tiktoken`` with the ids as ranks, which gives the same ids (tested over every
-code point) at a quarter of the time. B is a ``sentencepiece`` model. Special tokens
-are plain text in both. The files are read on the driver (their size is that of
-the vocabularies) and travel to the tasks by broadcast.
+code point) at a quarter of the time. B is a ``sentencepiece`` model, asked once
+per word and task, since no piece goes on behind a word's end (if one does,
+once per text). Special tokens are plain text in both. The files are read on
+the driver (their size is that of the vocabularies) and travel to the tasks by
+broadcast.
 
 Counting links over the corpus: texts are taken in blocks of ``BLOCK_CHARS``
 code points. A block keeps its documents' distinct id pairs as numbers into the
@@ -35,8 +37,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -52,8 +56,11 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 A_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_CHARS = 2_000_000
 CROSS = 1_000_000      # pairs of large groups written out at once
+CACHED_WORDS = 500_000  # words whose ids a task keeps
 # --- end of fixed values ----------------------------------------------------------
 
+_WORD = re.compile(" +[^ ]*")
+
 
 @dataclass(frozen=True)
 class Files:
@@ -99,17 +106,36 @@ class Tokenizers:
         self.b_bytes = [piece_bytes(self._b.id_to_piece(k)) for k in range(self._b.get_piece_size())]
         self.a_sizes = np.array([len(t) for t in self.a_bytes], dtype=np.int64)
         self.b_sizes = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
+        # no piece goes on behind a word's end, so each run of spaces with its word is cut by itself
+        self._split = all("▁" not in self._b.id_to_piece(k).lstrip("▁") for k in range(self._b.get_piece_size()))
+        self._space = {" ": [self._b.piece_to_id("▁")]}
+        self._words: dict[str, list[int] | None] = dict(self._space)
+
+    def _b_ids(self, texts: list[str]) -> list[list[int] | None]:
+        """B's ids of whole texts; None where its normaliser changes the bytes."""
+        out = self._b.encode(texts, num_threads=1) if texts else []
+        return [ids if b"".join(map(self.b_bytes.__getitem__, ids)) == (" " + t).encode() else None
+                for t, ids in zip(texts, out, strict=True)]
+
+    def _by_words(self, texts: list[str]) -> list[list[int] | None]:
+        """The same, each new word encoded once."""
+        cut = [_WORD.findall(" " + t) for t in texts]
+        if len(self._words) > CACHED_WORDS:
+            self._words = dict(self._space)
+        new = list(set(chain.from_iterable(cut)) - self._words.keys())
+        self._words.update(zip(new, self._b_ids([w[1:] for w in new]), strict=True))  # the model adds the space itself
+        get, out = self._words.__getitem__, []
+        for t, words in zip(texts, cut, strict=True):
+            parts = list(map(get, words))
+            out.append(self._b_ids([t])[0] if None in parts else list(chain.from_iterable(parts)))
+        return out
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids by A and by B; none where a tokenizer changes the bytes."""
-        a = [self._a.encode_ordinary(" " + t) if t else [] for t in texts]
-        b = self._b.encode(texts, num_threads=1) if texts else []
-        for k, t in enumerate(texts):
-            whole = (" " + t).encode()
-            if not (t and b"".join(map(self.a_bytes.__getitem__, a[k])) == whole
-                    and b"".join(map(self.b_bytes.__getitem__, b[k])) == whole):
-                a[k], b[k] = [], []
-        return a, b
+        """Ids by A and by B; none where B changes the bytes (A can't: its
+        tokens are the bytes)."""
+        b = (self._by_words if self._split else self._b_ids)(texts)
+        b = [ids if t and ids else [] for t, ids in zip(texts, b, strict=True)]
+        return [self._a.encode_ordinary(" " + t) if ids else [] for t, ids in zip(texts, b, strict=True)], b
 
 
 def _starts(sizes: np.ndarray) -> np.ndarray:
@@ -150,8 +176,8 @@ class Batch:
         a, b = tokenizers.encode(texts)
         self.n_a = np.array([len(x) for x in a], dtype=np.int64)
         self.n_b = np.array([len(x) for x in b], dtype=np.int64)
-        self.a = np.fromiter((i for x in a for i in x), dtype=np.int64, count=int(self.n_a.sum()))
-        self.b = np.fromiter((i for x in b for i in x), dtype=np.int64, count=int(self.n_b.sum()))
+        self.a = np.fromiter(chain.from_iterable(a), dtype=np.int64, count=int(self.n_a.sum()))
+        self.b = np.fromiter(chain.from_iterable(b), dtype=np.int64, count=int(self.n_b.sum()))
         self.a_starts, self.b_starts = _starts(self.n_a), _starts(self.n_b)
         at_a, at_b, cut = merge(self._ends(tokenizers.a_sizes[self.a], self.a_starts), self.a_starts,
                                 self._ends(tokenizers.b_sizes[self.b], self.b_starts), self.b_starts)

@@ -199,8 +199,13 @@ def test_alignment_tokens_are_the_files_own(tokenizers):
     texts = [f"a{chr(c)}b1{chr(c)}2 {chr(c)}{chr(c)} !{chr(c)}?" for c in points[::7]] + ["<|endoftext|>x", "  a", "x  "]
     want = [e.ids for e in own.encode_batch([" " + t for t in texts], add_special_tokens=False)]
     assert [tokenizers._a.encode_ordinary(" " + t) for t in texts] == want
+    rng = random.Random(4)
+    texts += ["".join(rng.choices(["a", " ", "  ", "▁", "\n", "the", "é", "日", "🙂", "<s>", "x" * 70, "\t", "\x00"], k=20)) for _ in range(2000)]
     a, b = tokenizers.encode(texts)
     for t, x, y in zip(texts, a, b):
+        whole = tokenizers._b.encode(t)
+        changed = b"".join(tokenizers.b_bytes[k] for k in whole) != (" " + t).encode()
+        assert y == ([] if changed else whole), t
         if x:
             assert b"".join(tokenizers.a_bytes[k] for k in x) == b"".join(tokenizers.b_bytes[k] for k in y) == (" " + t).encode()
 
