@@ -16,8 +16,10 @@ computed once per *distinct* token and joined back (AQE splits skewed terms).
 
 from __future__ import annotations
 
+import hashlib
 import os
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,16 @@ class Index:
     extra: dict = field(default_factory=dict)
     surface: DataFrame | None = None   # (term, cf) of unstemmed forms; the lexicon without a stemmer
 
+    # -- identity ---------------------------------------------------------
+    @cached_property
+    def identity(self) -> str:
+        """Digest of the contents: equal for indexes with the same postings,
+        wherever they lie (one pass over the postings, at first use)."""
+        row = self.postings.agg(
+            F.count("*"), F.sum(F.xxhash64("term", "docno", "tf", "dl").cast("decimal(38,0)")),
+            F.bit_xor(F.xxhash64("docno", "term", "tf"))).first()
+        return hashlib.md5(repr([str(x) for x in row] + [self.stats.get("num_docs")]).encode()).hexdigest()
+
     # -- statistics -------------------------------------------------------
     @property
     def num_docs(self) -> float:

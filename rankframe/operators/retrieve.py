@@ -112,17 +112,24 @@ def weighted_retrieve(index: Index, weighted: DataFrame, model: str = "BM25",
     return retrieve(index, model=model, k=k, qterms=weighted)
 
 
+def rescore_models(index: Index, run: DataFrame, models: list[str], topics: DataFrame | None = None) -> DataFrame:
+    """(qid, docno, score_0, <model>...): the run's own documents scored by
+    every model in one pass over the postings; a candidate matching no query
+    term scores 0. Without ``topics`` the run holds its queries."""
+    topics = run.select("qid", "query").distinct() if topics is None else topics
+    cand = run.select(F.col("qid").cast("string").alias("qid"), "docno", F.col("score").alias("score_0"))
+    s = score_matches(index, query_terms(topics, index.analyzer), models, candidates=cand)
+    names = {m: f"_s{i}" for i, m in enumerate(models)}
+    s = s.select("qid", "docno", *[F.col(m).alias(n) for m, n in names.items()])
+    return (cand.join(s, ["qid", "docno"], "left")
+            .select("qid", "docno", "score_0",
+                    *[F.round(F.coalesce(F.col(n), F.lit(0.0)), 6).alias(m) for m, n in names.items()]))
+
+
 def rescore(index: Index, run: DataFrame, topics: DataFrame, model: str = "BM25") -> DataFrame:
     """Score the given (qid, docno) candidates only; a candidate matching no
     query term scores 0. Previous score kept as ``score_0``; re-ranked."""
-    cand = run.select("qid", "docno", F.col("score").alias("score_0")).persist()
-    s = score_matches(index, query_terms(topics, index.analyzer), (model,),
-                      candidates=cand)
-    out = (cand.join(s.select("qid", "docno", F.col(model).alias("_s")),
-                     ["qid", "docno"], "left")
-           .select("qid", "docno", "score_0",
-                   F.round(F.coalesce(F.col("_s"), F.lit(0.0)), 6).alias("score")))
-    return rank_within(out)
+    return rank_within(rescore_models(index, run, [model], topics).withColumnRenamed(model, "score"))
 
 
 def features_retrieve(index: Index, topics: DataFrame, model: str = "BM25",

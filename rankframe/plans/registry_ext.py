@@ -16,7 +16,7 @@ from ..operators import retrieve as rt
 from ..operators import rewrite as rw
 from ..session import ensure_checkpoint_dir
 from ..sources import collection as col
-from .algebra import Retriever, Stage, cached
+from .algebra import Feedback, Retriever, SequentialDependence, Stage, cached
 from .context import ctx
 from .registry import DISPLAY_METRICS, EVAL_DEPTH, TOPK, _eval_run, _run, query, r6
 
@@ -51,10 +51,7 @@ def q_sdm_clauses(spark, d):
 
 
 def _sdm_run(c, k):
-    idx = c.index()
-    postings, lexicon, qt = rw.sdm_query(idx, c.topics)
-    s = rt.score_matches(idx, qt, ("BM25",), postings=postings, lexicon=lexicon)
-    return rt.rank_within(s.select("qid", "docno", r6(F.col("BM25")).alias("score")), k)
+    return (SequentialDependence() >> _stage(c, "BM25", k))(c.topics).select(*RUN_COLUMNS)
 
 
 @query("sdm_bm25")
@@ -74,6 +71,10 @@ def _rm3(c):
     return c.memo("rm3", lambda: rw.rm3_terms(c.index(), _fb_run(c), c.qterms().df).persist())
 
 
+def _feedback(c, kind):
+    return _stage(c, "BM25", 3) >> Feedback(c.index(), kind) >> _stage(c, "BM25", TOPK)
+
+
 @query("bo1_terms")
 def q_bo1_terms(spark, d):
     return _bo1(ctx(spark, d)).select("qid", "term", r6(F.col("qtf")).alias("qtf"))
@@ -82,7 +83,7 @@ def q_bo1_terms(spark, d):
 @query("bo1_bm25")
 def q_bo1_bm25(spark, d):
     c = ctx(spark, d)
-    return rt.weighted_retrieve(c.index(), _bo1(c), "BM25", TOPK)
+    return _feedback(c, "Bo1")(c.topics).select(*RUN_COLUMNS)
 
 
 @query("rm3_terms")
@@ -93,7 +94,7 @@ def q_rm3_terms(spark, d):
 @query("rm3_bm25")
 def q_rm3_bm25(spark, d):
     c = ctx(spark, d)
-    return rt.weighted_retrieve(c.index(), _rm3(c), "BM25", TOPK)
+    return _feedback(c, "RM3")(c.topics).select(*RUN_COLUMNS)
 
 
 @query("spell_correct")
@@ -173,7 +174,7 @@ def q_rerank_pipeline(spark, d):
 def q_linear_combine(spark, d):
     c = ctx(spark, d)
     pipe = 2 * _stage(c, "TF_IDF", 100) + _stage(c, "BM25", 100)
-    return pipe(c.topics)
+    return pipe(c.topics).select(*RUN_COLUMNS)
 
 
 @query("feature_union")
@@ -194,7 +195,7 @@ def q_cached(spark, d):
     path = os.path.join(ensure_checkpoint_dir(spark), f"rankframe-cache-{uuid.uuid4().hex}")
     st = cached(_stage(c, "BM25", TOPK), path)
     st(c.topics.filter(col.split_bucket("qid") <= 5))   # warm part of the cache
-    return st(c.topics)                                  # hits + computed misses
+    return st(c.topics).select(*RUN_COLUMNS)             # hits + computed misses
 
 
 # ----------------------------------------------------------- experiments --

@@ -15,6 +15,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def child_folders(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the folders in ``path``, by name; none if it is missing."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return sorted(x.getPath().toString() for x in fs.listStatus(p) if x.isDirectory())
+
+
 def save_results(run: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Run → CSV with header (one directory, no index column)."""
     run.write.mode(mode).option("header", True).csv(path)

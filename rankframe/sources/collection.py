@@ -17,7 +17,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN_PATTERN, Analyzer, raw_tokens
+from ..functions.text import TOKEN_PATTERN
 from ..session import bounded_broadcast
 
 # --- fixed values ---------------------------------------------------------------
@@ -27,7 +27,7 @@ TAG_PATTERN = r"<[^>]*>"
 # topic split: bucket = first 4 hex digits of md5(qid) mod 10
 SPLIT_TRAIN_MAX = 5
 SPLIT_DEV_MAX = 7
-LITERAL_BLOCK = 500  # topics checked in one expression
+GRAM = 8  # characters of a gram
 # --- end of fixed values ----------------------------------------------------------
 
 
@@ -45,60 +45,42 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query"))
 
 
-def containment_qrels(corpus_df: DataFrame, topics_df: DataFrame, index,
+def _grams(text, sizes) -> "F.Column":
+    """Hashes of the distinct runs of ``sizes`` characters of a text."""
+    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}})).", ), F.lit(1)) for n in sizes]
+    return F.array_distinct(F.transform(F.concat(*runs), lambda g: F.xxhash64(g)))
+
+
+def containment_qrels(corpus_df: DataFrame, topics_df: DataFrame, index=None,
                       labels: DataFrame | None = None) -> DataFrame:
     """Judgments: (qid, docno) where the document text contains the topic text
-    verbatim; graded by the labels table.
-
-    No cross join: each topic gets an *anchor* — its rarest indexed interior
-    token (interior tokens are whole tokens of any containing document) — and
-    candidates come from the anchor's postings; the verbatim ``contains``
-    check runs only on candidates, on the document side of a join whose
-    other side is size-checked. Topics without an indexable interior token
-    (fewer than three tokens, or only stopwords) are checked directly against
-    each document in literal blocks of LITERAL_BLOCK topics, however many there are.
+    verbatim; graded by the labels table. Null and empty topics judge nothing.
+
+    An inverted index of character grams, of which only the topics' grams are
+    kept: every topic of GRAM characters and more has its runs of GRAM
+    characters as grams, a shorter one itself. The texts' grams (hashes,
+    distinct per document) are counted where a topic has them; each topic takes
+    its rarest gram as the key of an equi-join with the documents, and the
+    verbatim ``contains`` runs on those candidates alone. A topic with a gram
+    that no document holds matches nothing. ``index`` isn't needed and is
+    kept for callers that pass one.
     """
-    an: Analyzer = index.analyzer
-    tq = topics_df.select("qid", "query", raw_tokens(F.col("query")).alias("toks"))
-    interior = tq.select(
-        "qid", F.explode(F.slice("toks", 2, F.greatest(F.size("toks") - 2, F.lit(0))))
-        .alias("raw"))
-    # keep tokens the analyzer indexes, map them to index terms
-    kept = interior.select("qid", F.explode(an.tokens(F.col("raw"))).alias("raw"))
-    kept = an.stem_frame(kept, "raw", "term").select("qid", "term").distinct()
-    n_kept = kept.count()
-    lex = index.lexicon.join(bounded_broadcast(kept, known_rows=n_kept), "term")
-    w = Window.partitionBy("qid").orderBy(F.col("df").asc(), F.col("term").asc())
-    anchors = (lex.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-               .select("qid", "term"))
-    n_anchor = anchors.persist().count()
-    cand = (index.postings.select("term", "docno")
-            .join(bounded_broadcast(anchors, known_rows=n_anchor), "term")
-            .select("qid", "docno"))
-    cand = cand.join(bounded_broadcast(topics_df.select("qid", "query")), "qid").persist()
-    n_cand = cand.count()
+    topics = (topics_df.select(F.col("qid").cast("string").alias("qid"), "query").distinct()
+              .filter(F.length("query") > 0).withColumn("size", F.least(F.length("query"), F.lit(GRAM))))
+    sizes = sorted(r[0] for r in topics.select("size").distinct().collect()) or [GRAM]  # at most GRAM numbers
+    own = topics.select("qid", "query", F.explode(F.when(
+        F.col("size") < GRAM, F.array(F.xxhash64("query"))).otherwise(_grams(F.col("query"), [GRAM]))).alias("gram"))
     docs = corpus_df.select("docno", "text")
-    matched = (docs.join(bounded_broadcast(cand, known_rows=n_cand), "docno")
-               .filter(F.col("text").contains(F.col("query")))
-               .select("qid", "docno"))
-
-    # a topic with an interior term that no document holds can't match
-    hopeless = kept.join(index.lexicon.select("term"), "term", "left_anti").select("qid").distinct()
-    # the rest without an anchor are short: a stated set of queries, checked
-    # against all documents block by block
-    short = (topics_df.select("qid", "query").join(anchors, "qid", "left_anti")
-             .join(hopeless, "qid", "left_anti"))
-    block: list = []
-    for r in [*short.toLocalIterator(), None]:
-        if r is not None:
-            block.append(F.struct(F.lit(r["qid"]).alias("qid"), F.lit(r["query"]).alias("query")))
-        if block and (r is None or len(block) == LITERAL_BLOCK):
-            held = docs.select("docno", F.explode(F.filter(
-                F.array(*block), lambda s: F.col("text").contains(s["query"]))).alias("m"))
-            matched = matched.unionByName(held.select(F.col("m.qid").alias("qid"), "docno"))
-            block = []
-
-    matched = matched.distinct()
+    held = docs.select("docno", F.explode(_grams(F.col("text"), sizes)).alias("gram"))
+    counts = (held.join(bounded_broadcast(own.select("gram").distinct()), "gram", "left_semi")
+              .groupBy("gram").agg(F.count("*").alias("df")))
+    rarest = Window.partitionBy("qid").orderBy("df", "gram")
+    keys = (own.join(counts, "gram", "left").na.fill(0, ["df"])
+            .withColumn("_rn", F.row_number().over(rarest)).filter((F.col("_rn") == 1) & (F.col("df") > 0))
+            .select("qid", "query", "gram"))
+    cand = held.join(bounded_broadcast(keys), "gram").select("qid", "query", "docno").distinct()
+    matched = (docs.join(cand, "docno").filter(F.col("text").contains(F.col("query")))
+               .select("qid", "docno").distinct())
     if labels is None:
         return matched.withColumn("label", F.lit(1))
     lab = labels.select(F.col("doc_id").cast("string").alias("docno"), "quality")
