@@ -53,7 +53,7 @@ class Ctx:
     @property
     def qrels(self) -> DataFrame:
         def build():
-            q = col.containment_qrels(self.corpus, self.topics, self.index(),
+            q = col.containment_qrels(self.corpus, self.topics, None,
                                       col.labels(self.spark, self.sf_dir))
             return q.persist()
         return self.memo("qrels", build)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import STOP_ONLY, ENGLISH_STOPWORDS, sanitize
 from ..operators import dense as dn
 from ..operators import evaluate as ev
-from ..operators import ltr
+from ..operators import lambdamart, ltr
 from ..operators import retrieve as rt
 from ..operators import rewrite as rw
 from ..session import ensure_checkpoint_dir
@@ -462,6 +462,14 @@ def q_pointwise(spark, d):
     return ltr.apply_model(model, _split_feats(c, "test"))
 
 
+@query("ltr_lambdamart")
+def q_lambdamart(spark, d):
+    """Boosted trees on lambda gradients, stopped on the dev topics."""
+    c = ctx(spark, d)
+    train, dev = (ltr.training_set(_split_feats(c, s), c.qrels) for s in ("train", "dev"))
+    return lambdamart.apply_lambdamart(lambdamart.fit_lambdamart(train, dev), _split_feats(c, "test"))
+
+
 @query("ltr_ablation")
 def q_ablation(spark, d):
     """One pointwise model per removed feature; all test runs evaluated in
