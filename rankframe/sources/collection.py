@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN_PATTERN
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, ensure_checkpoint_dir
 
 # --- fixed values ---------------------------------------------------------------
 TITLE_PATTERN = r"(?s)<title>(.*?)</title>"
@@ -45,40 +45,66 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query"))
 
 
+def _words(text) -> "F.Column":
+    """The runs between white space, in order."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
 def _grams(text, sizes) -> "F.Column":
     """Hashes of the distinct runs of ``sizes`` characters of a text."""
-    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}})).", ), F.lit(1)) for n in sizes]
+    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)) for n in sizes]
     return F.array_distinct(F.transform(F.concat(*runs), lambda g: F.xxhash64(g)))
 
 
+def _tokens_around(fragments: DataFrame, doc_words: DataFrame) -> DataFrame:
+    """(qid, query, word): the documents' words that hold a topic's fragment.
+    Distinct words are indexed by their character grams; a fragment is looked
+    up by its first GRAM characters (itself, if shorter)."""
+    size = F.least(F.length("fragment"), F.lit(GRAM))
+    sizes = sorted(r[0] for r in fragments.select(size).distinct().collect())  # at most GRAM numbers
+    keyed = fragments.withColumn("gram", F.xxhash64(F.substring("fragment", F.lit(1), size)))
+    words = doc_words.select("word").distinct().select("word", F.explode(_grams(F.col("word"), sizes)).alias("gram"))
+    return (words.join(bounded_broadcast(keyed), "gram").filter(F.col("word").contains(F.col("fragment")))
+            .select("qid", "query", "word").distinct())
+
+
 def containment_qrels(corpus_df: DataFrame, topics_df: DataFrame, index=None,
                       labels: DataFrame | None = None) -> DataFrame:
     """Judgments: (qid, docno) where the document text contains the topic text
-    verbatim; graded by the labels table. Null and empty topics judge nothing.
-
-    An inverted index of character grams, of which only the topics' grams are
-    kept: every topic of GRAM characters and more has its runs of GRAM
-    characters as grams, a shorter one itself. The texts' grams (hashes,
-    distinct per document) are counted where a topic has them; each topic takes
-    its rarest gram as the key of an equi-join with the documents, and the
-    verbatim ``contains`` runs on those candidates alone. A topic with a gram
-    that no document holds matches nothing. ``index`` isn't needed and is
-    kept for callers that pass one.
+    verbatim; graded by the labels table. Topics that are null or hold no
+    character besides white space judge nothing.
+
+    Equi-joins only. A word of a topic with white space on both sides is a
+    whole word of every document that contains the topic, so the topic's rarest
+    such word is the key of the join with the documents' distinct words. A
+    topic without one (one or two words) has its longest word looked up in the
+    vocabulary through an index of character grams, which gives the document
+    words that hold it. The verbatim ``contains`` runs on those candidates
+    alone. ``index`` isn't needed and is kept for callers that pass one.
     """
     topics = (topics_df.select(F.col("qid").cast("string").alias("qid"), "query").distinct()
-              .filter(F.length("query") > 0).withColumn("size", F.least(F.length("query"), F.lit(GRAM))))
-    sizes = sorted(r[0] for r in topics.select("size").distinct().collect()) or [GRAM]  # at most GRAM numbers
-    own = topics.select("qid", "query", F.explode(F.when(
-        F.col("size") < GRAM, F.array(F.xxhash64("query"))).otherwise(_grams(F.col("query"), [GRAM]))).alias("gram"))
+              .withColumn("words", _words(F.col("query"))).filter(F.size("words") > 0))
     docs = corpus_df.select("docno", "text")
-    held = docs.select("docno", F.explode(_grams(F.col("text"), sizes)).alias("gram"))
-    counts = (held.join(bounded_broadcast(own.select("gram").distinct()), "gram", "left_semi")
-              .groupBy("gram").agg(F.count("*").alias("df")))
-    rarest = Window.partitionBy("qid").orderBy("df", "gram")
-    keys = (own.join(counts, "gram", "left").na.fill(0, ["df"])
+    doc_words = docs.select("docno", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
+    own = topics.select("qid", "query", F.size("words").alias("n"), F.posexplode("words").alias("pos", "fragment"))
+    left = (F.col("pos") > 0) | F.col("query").rlike(r"^\s")
+    right = (F.col("pos") < F.col("n") - 1) | F.col("query").rlike(r"\s$")
+    own = own.withColumn("whole", left & right)
+    whole = own.filter("whole").select("qid", "query", F.col("fragment").alias("word"))
+    counts = (doc_words.join(bounded_broadcast(whole.select("word").distinct()), "word", "left_semi")
+              .groupBy("word").agg(F.count("*").alias("df")))
+    rarest = Window.partitionBy("qid").orderBy("df", "word")
+    keys = (whole.join(counts, "word", "left").na.fill(0, ["df"])  # a word that no document holds: no match
             .withColumn("_rn", F.row_number().over(rarest)).filter((F.col("_rn") == 1) & (F.col("df") > 0))
-            .select("qid", "query", "gram"))
-    cand = held.join(bounded_broadcast(keys), "gram").select("qid", "query", "docno").distinct()
+            .select("qid", "query", "word"))
+    longest = Window.partitionBy("qid").orderBy(F.length("fragment").desc(), "pos")
+    rest = (own.withColumn("any", F.max("whole").over(Window.partitionBy("qid"))).filter(~F.col("any"))
+            .withColumn("_rn", F.row_number().over(longest)).filter("_rn = 1").select("qid", "query", "fragment"))
+    if not rest.isEmpty():
+        keys = keys.unionByName(_tokens_around(rest, doc_words))
+    ensure_checkpoint_dir(keys.sparkSession)
+    keys = keys.checkpoint()  # sized and used: one pass over the texts, not two
+    cand = doc_words.join(bounded_broadcast(keys), "word").select("qid", "query", "docno").distinct()
     matched = (docs.join(cand, "docno").filter(F.col("text").contains(F.col("query")))
                .select("qid", "docno").distinct())
     if labels is None:

@@ -70,10 +70,13 @@ def test_judgments_of_many_one_word_topics(spark):
     words = [f"w{k:04}" for k in range(2000)] + ["é", "日本", "a b", "x" * 40, "the end."]
     texts = {f"d{k}": " ".join(rng.choices(words, k=rng.randint(0, 30))) for k in range(300)} | {"e": "", "long": "x" * 5000}
     corpus = spark.createDataFrame([*texts.items(), ("n", None)], "docno string, text string")
-    topics = [(str(k), w) for k, w in enumerate(words)] + [("none", None), ("empty", ""), ("absent", "w0001 nowhere w0002"), ("0", "w0000")]
+    topics = [(str(k), w) for k, w in enumerate(words)] + [("none", None), ("empty", ""), ("absent", "w0001 nowhere w0002"), ("0", "w0000"),
+                                                          ("blank", " \n"), ("tail", "0001 w"), ("inner", "1 w00"), ("spaced", " w0001 "),
+                                                          ("three", texts["d1"][3:40]), ("line", "a b w"), ("lead", " w00")]
     frame = spark.createDataFrame(topics, "qid string, query string")
     out = containment_qrels(corpus, frame)
-    assert {(r.qid, r.docno) for r in out.collect()} == {(q, d) for q, w in topics if w for d, t in texts.items() if w in t}
+    assert {(r.qid, r.docno) for r in out.collect()} == {
+        (q, d) for q, w in topics if w and w.strip() for d, t in texts.items() if w in t}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "w0007" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
