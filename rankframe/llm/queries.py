@@ -57,7 +57,7 @@ def toxic_training_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and the longest
     passage it shares with the next document."""
-    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"), every=True, passages=True)
+    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"), passages=True)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,23 +6,27 @@ are removed, everything else becomes a space. ``i``, ``l`` and ``1`` look
 alike and share one letter.
 
 *Lexicon.* Whole words, and word beginnings (``PREFIXES`` letters) that gather
-several words, whose share of toxic training texts is far above that of the
-others, weighted by the log of the ratio. Copies of one text must not make its words look toxic, so
-an entry needs several different preceding words. Of nested entries the
-shortest pure one stays. ``SEEDS`` are insults known beforehand; they get a
+several words, whose share of the words of toxic training texts is above that
+in the others, weighted by the log of the ratio of the mean shares. A pattern
+must stand apart by several standard errors (``STRONG``) and, as copies of one text must
+not make its words look toxic, follow several different words. Of nested
+patterns the one that stands apart most stays; their number isn't limited but
+by the training rows. ``SEEDS`` are insults known beforehand; they get a
 default weight unless the labels speak against them.
 
 *Exceptions.* A hit inside an exception phrase does not count.
 
-*Score.* The weights of the hits, and the same normalised by the length in
-words, go through a logistic curve fitted on the training rows.
+*Score.* Three measures go through a logistic curve fitted on the training
+rows: the weights of the hits, the same normalised by the length in words, and
+the weights beyond those that as many words of clean text hold, all on a
+logarithmic scale.
 
 The lexicon and the curve are fitted on at most ``TRAIN_ROWS`` labelled rows
 (those with the smallest id hashes); every text is scored as a whole.
 
 Defined cases: null and empty texts have no hit; rows without a label are
 not learned from; a document with several labels counts as toxic if any of
-its labels is; without any toxic training row only the seeds count; an empty
+its labels is, and so do equal texts if one of them does; without any toxic training row only the seeds count; an empty
 table gives an empty result.
 """
 
@@ -34,6 +38,8 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -44,11 +50,13 @@ from pyspark.sql.functions import pandas_udf
 # --- fixed values ---------------------------------------------------------------
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
-PREFIXES = (4, 5, 6)
-MIN_DOCS, MIN_SHARE, MIN_CONTEXTS, MIN_WEIGHT, MIN_Z, MIN_PURITY = 3, 0.005, 4, 3.0, 2.5, 0.9
-PREFIX_GAIN = 1.5   # toxic texts of a word beginning against those of its commonest word
-LEXICON_SIZE = 2_000
+PREFIXES = (4, 5, 6, 7, 8)
+MIN_DOCS, MIN_CONTEXTS, CONTEXT_SHARE = 3, 4, 1 / 3   # different words before a pattern: least, and of its texts
+STRONG = ((4.0, 1.2), (1.7, 3.5))   # least standard errors apart, and weight: one pair suffices
+PREFIX_GAIN = 1.1   # how much further apart a word beginning must stand than its best word
+SHORT = 20          # words added to a text's length, so that a short text's shares stay small
 SEED_WEIGHT, MAX_WEIGHT = 3.0, 6.0
+BALANCE = 0.5       # 0: the labels' own shares, 1: both labels weigh the same
 DIGITS = dict(zip("0134578", "oieastb", strict=True))
 HOMOGLYPHS = {
     # Cyrillic
@@ -110,10 +118,12 @@ def fold(text: str | None, table: Folding) -> str:
 @dataclass(frozen=True)
 class Lexicon:
     """entries: pattern → weight, patterns folded, with a leading space, and a
-    trailing one when a whole word is meant; the curve's coefficients."""
+    trailing one when a whole word is meant; clean: the weights that a word of
+    clean text holds on average; the curve's coefficients."""
     entries: tuple[tuple[str, float], ...]
     exceptions: tuple[str, ...]
-    curve: tuple[float, float, float]
+    clean: float
+    curve: tuple[float, ...]
 
 
 def automaton(entries: tuple[tuple[str, float], ...], exceptions: tuple[str, ...]):
@@ -136,18 +146,31 @@ def weigh(folded: str, machine) -> float:
     for end, (size, weight) in machine.iter(folded):
         (covers if weight is None else hits).append((end - size + 1, end, weight))
     if covers:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in covers)]
+        # one pass by start: a hit is covered if a phrase that starts no later ends no earlier
+        covers.sort()
+        hits.sort()
+        kept, at, reach = [], 0, -1
+        for hit in hits:
+            while at < len(covers) and covers[at][0] <= hit[0]:
+                reach = max(reach, covers[at][1])
+                at += 1
+            if hit[1] > reach:
+                kept.append(hit)
+        hits = kept
     return sum(h[2] for h in hits)
 
 
-def features(texts, entries, exceptions) -> np.ndarray:
-    """log(1 + weight) and log(1 + 100 weight / words) of each text."""
+def features(texts, entries, exceptions, clean: float) -> np.ndarray:
+    """Logarithms of the weight, the weight in 100 words, and the weight above
+    that of clean text."""
     machine, table = automaton(entries, exceptions), Folding()
-    out = np.zeros((len(texts), 2))
+    out = np.zeros((len(texts), 3))
     for i, t in enumerate(texts):
         folded = fold(t, table)
         if w := weigh(folded, machine):
-            out[i] = math.log1p(w), math.log1p(100 * w / max(1, len(folded.split())))
+            words = len(folded.split())
+            above = w - clean * words
+            out[i] = math.log1p(w), math.log1p(100 * w / (words + SHORT)), math.copysign(math.log1p(abs(above)), above)
     return out
 
 
@@ -171,24 +194,36 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learned: "F.Co
         .join(F.broadcast(sample(y, rows)), "doc_id")
 
 
-def _patterns(folded: str) -> set[str]:
-    words = set(folded.split())
-    out = {f" {w} " for w in words}
-    for w in words:
-        out.update(" " + w[:n] for n in PREFIXES if len(w) > n)
+def _patterns(words: list[str]) -> Counter:
+    """How often each word, and each beginning of a longer word, occurs."""
+    out: Counter = Counter()
+    for w, n in Counter(words).items():
+        out[f" {w} "] += n
+        for k in PREFIXES:
+            if len(w) > k:
+                out[" " + w[:k]] += n
     return out
 
 
+_COUNTED = "pattern string, y int, docs long, share double, square double"
+
+
 def _document_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per pattern and label: documents, and the sums of their shares (in 100
+    words) and of the shares' squares."""
     table = Folding()
     for batch in batches:
-        counts = (Counter(), Counter())
+        sums: dict = {}
         for text, y in zip(batch["text"], batch["y"], strict=True):
-            counts[int(y)].update(_patterns(fold(text, table)))
-        keys = list(counts[0].keys() | counts[1].keys())
-        if keys:
-            yield pd.DataFrame({"pattern": keys, "toxic": [counts[1][k] for k in keys],
-                                "other": [counts[0][k] for k in keys]})
+            words = fold(text, table).split()
+            for pattern, n in _patterns(words).items():
+                share = 100 * n / (len(words) + SHORT)
+                entry = sums.setdefault((pattern, int(y)), [0, 0.0, 0.0])
+                entry[0] += 1
+                entry[1] += share
+                entry[2] += share * share
+        if sums:
+            yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=[c.split()[0] for c in _COUNTED.split(", ")])
 
 
 def _context_counter(wanted: frozenset[str]):
@@ -208,84 +243,109 @@ def _context_counter(wanted: frozenset[str]):
     return contexts
 
 
-def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps."""
+def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
+    """Logistic regression by Newton steps. The rarer label's rows weigh more
+    by the BALANCE-th power of the ratio of both."""
     a = np.column_stack([np.ones(len(x)), x])
-    c = np.array([-2.0, 0.5, 0.5])
+    c = np.array([-2.0, 0.5, 0.5, 0.0])
     if not len(y) or y.min() == y.max():
         return tuple(c)
-    penalty = ridge * len(y) / 100 * np.diag([0.0, 1.0, 1.0])
-    c = np.zeros(3)
+    penalty = ridge * len(y) / 100 * np.diag([0.0, 1.0, 1.0, 1.0])
+    c, weight = np.zeros(4), np.where(y > 0, (len(y) / y.sum() - 1) ** BALANCE, 1.0)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ c, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + penalty + 1e-6 * np.eye(3)
-        step = np.linalg.solve(h, a.T @ (y - p) - penalty @ c)
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + penalty + 1e-6 * np.eye(4)
+        step = np.linalg.solve(h, a.T @ (weight * (y - p)) - penalty @ c)
         c = c + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
     return tuple(float(v) for v in c)
 
 
+def measured_patterns(train: DataFrame, toxic: int, other: int) -> DataFrame:
+    """(pattern, p, n, w, t): documents of both labels with it, the log ratio
+    of its mean shares, and how many standard errors these stand apart."""
+    counts = train.mapInPandas(_document_counts, _COUNTED)
+
+    def of(name: str, y: int) -> "F.Column":
+        return F.sum(F.when(F.col("y") == y, F.col(name)).otherwise(0))
+    g = counts.groupBy("pattern").agg(*[of(name, y).alias(f"{name}{y}") for name in ("docs", "share", "square") for y in (1, 0)])
+    m1, m0 = F.col("share1") / toxic, F.col("share0") / other
+    v1 = F.greatest(F.col("square1") / toxic - m1 * m1, F.lit(0.0)) / toxic
+    v0 = F.greatest(F.col("square0") / other - m0 * m0, F.lit(0.0)) / other
+    least = 50.0 / (100 + SHORT)   # half a hit in a text of 100 words
+    return g.select("pattern", F.col("docs1").alias("p"), F.col("docs0").alias("n"),
+                    F.log((m1 + least / toxic) / (m0 + least / other)).alias("w"),
+                    ((m1 - m0) / F.sqrt(v1 + v0 + least * least / toxic / toxic)).alias("t"), m0.alias("clean"))
+
+
+def chosen(rows: list, contexts: dict[str, int]) -> dict[str, float]:
+    """pattern → weight of the patterns that stay, none of which begins another."""
+    rows = [r for r in rows if contexts.get(r["pattern"], 0) >= max(MIN_CONTEXTS, CONTEXT_SHARE * r["p"])]
+    best = {r["pattern"]: r["t"] for r in rows}
+    word: dict[str, float] = {}
+    for pattern, t in best.items():
+        for k in PREFIXES:
+            if pattern.endswith(" ") and len(pattern) > k + 2:
+                word[pattern[:k + 1]] = max(word.get(pattern[:k + 1], 0.0), t)
+    entries: dict[str, float] = {}
+    under: set[str] = set()  # beginnings of the entries
+    for r in sorted(rows, key=lambda r: (-r["t"], r["pattern"])):
+        pattern = r["pattern"]
+        if not pattern.endswith(" ") and r["t"] < PREFIX_GAIN * word.get(pattern, 0.0):
+            continue  # one word makes up this beginning: take the word
+        if pattern in under or any(pattern[:k + 1] in entries for k in PREFIXES):
+            continue
+        entries[pattern] = round(min(r["w"], MAX_WEIGHT), 4)
+        under.update(pattern[:k + 1] for k in PREFIXES)
+    return entries
+
+
 def learn(train: DataFrame) -> Lexicon:
     """The lexicon and curve of (doc_id, text, y) rows, which are bounded."""
-    train = train.select("text", "y").dropDuplicates(["text"]).persist()
+    train = train.groupBy("text").agg(F.max("y").alias("y")).persist()
     try:
         totals = dict(train.groupBy("y").count().collect())
         p_all, n_all = totals.get(1, 0), totals.get(0, 0)
-        counts = (train.mapInPandas(_document_counts, "pattern string, toxic long, other long")
-                  .groupBy("pattern").agg(F.sum("toxic").alias("p"), F.sum("other").alias("n")))
-        w = (F.log((F.col("p") + 0.5) / (p_all + 1)) - F.log((F.col("n") + 0.5) / (n_all + 1)))
-        rate = F.col("p") / max(p_all, 1)
-        strong = (counts.withColumn("w", w)
-                  .withColumn("z", F.col("w") / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5)))
-                  .withColumn("purity", rate / (rate + F.col("n") / max(n_all, 1)))
-                  .filter((F.col("p") >= max(MIN_DOCS, MIN_SHARE * p_all)) & (F.col("w") >= MIN_WEIGHT)
-                          & (F.col("z") >= MIN_Z) & (F.col("purity") >= MIN_PURITY))
-                  .orderBy(F.desc("z"), "pattern").limit(4 * LEXICON_SIZE).collect())
-        weight = {r["pattern"]: r["w"] for r in strong}
-        contexts = dict(train.filter("y = 1").mapInPandas(
-            _context_counter(frozenset(weight)), "pattern string, before string").distinct()
-            .groupBy("pattern").count().collect()) if weight else {}
+        counts = measured_patterns(train, max(p_all, 1), max(n_all, 1))
         table = Folding()
         seeds = [fold(s, table) for s in SEEDS]
-        against = {r["pattern"] for r in counts.filter(F.col("pattern").isin(seeds))
-                   .filter(F.col("n") > 3 * F.col("p")).collect()}
-        docs = {r["pattern"]: r["p"] for r in strong if contexts.get(r["pattern"], 0) >= MIN_CONTEXTS}
-        commonest: dict[str, int] = {}
-        for pattern, p in docs.items():
-            for n in PREFIXES:
-                commonest[pattern[:n + 1]] = max(commonest.get(pattern[:n + 1], 0), p * pattern.endswith(" "))
-        entries: dict[str, float] = {}
-        for pattern in sorted(docs, key=lambda x: (x.endswith(" "), len(x), x)):
-            beginning = not pattern.endswith(" ")
-            if beginning and docs[pattern] < PREFIX_GAIN * commonest[pattern]:
-                continue  # one word makes up this beginning: take the word
-            if len(entries) < LEXICON_SIZE and not any(pattern[:n + 1] in entries for n in PREFIXES):
-                entries[pattern] = round(min(weight[pattern], MAX_WEIGHT), 4)
+        apart = [(F.col("t") >= t) & (F.col("w") >= w) for t, w in STRONG]
+        known = (F.col("p") >= MIN_DOCS) & reduce(or_, apart)
+        rows = (counts.withColumn("strong", known).filter(F.col("strong") | F.col("pattern").isin(seeds))
+                .collect())  # of the bounded training rows
+        strong = [r for r in rows if r["strong"]]
+        names = frozenset(r["pattern"] for r in strong)
+        contexts = dict(train.filter("y = 1").mapInPandas(_context_counter(names), "pattern string, before string")
+                        .distinct().groupBy("pattern").count().collect()) if names else {}
+        entries = chosen(strong, contexts)
+        against = {r["pattern"] for r in rows if r["n"] > 3 * r["p"]}
         for s in seeds:
-            if s not in against and s not in entries and not any(s.rstrip()[:n + 1] in entries for n in PREFIXES):
+            if s not in against and s not in entries and not any(s.rstrip()[:k + 1] in entries for k in PREFIXES):
                 entries[s] = SEED_WEIGHT
+        share = {r["pattern"]: r["clean"] for r in rows}
+        clean = sum(w * share.get(pattern, 0.0) for pattern, w in entries.items()) / 100
         lexicon = tuple(sorted(entries.items()))
         exceptions = tuple(sorted(fold(e, table) for e in EXCEPTIONS))
 
         @pandas_udf("array<double>")
         def measured(texts: pd.Series) -> pd.Series:
-            return pd.Series(features(texts, lexicon, exceptions).tolist())
-        rows = train.select(measured("text").alias("x"), "y").collect()  # bounded by TRAIN_ROWS
+            return pd.Series(features(texts, lexicon, exceptions, clean).tolist())
+        measures = train.select(measured("text").alias("x"), "y").collect()  # bounded by TRAIN_ROWS
     finally:
         train.unpersist()
-    x = np.array([r["x"] for r in rows]).reshape(-1, 2)
-    return Lexicon(lexicon, exceptions, _curve(x, np.array([r["y"] for r in rows], dtype=float)))
+    x = np.array([r["x"] for r in measures]).reshape(-1, 3)
+    return Lexicon(lexicon, exceptions, clean, _curve(x, np.array([r["y"] for r in measures], dtype=float)))
 
 
 def scorer(lexicon: Lexicon):
     """Column function text → score (0 to 1)."""
-    a, b, c = lexicon.curve
+    first, *curve = lexicon.curve
 
     @pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        x = features(texts, lexicon.entries, lexicon.exceptions)
-        return pd.Series(1 / (1 + np.exp(-np.clip(a + b * x[:, 0] + c * x[:, 1], -30, 30))))
+        x = features(texts, lexicon.entries, lexicon.exceptions, lexicon.clean)
+        return pd.Series(1 / (1 + np.exp(-np.clip(first + x @ np.array(curve), -30, 30))))
     return score
 
 

@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -159,6 +160,39 @@ def test_hits_boundaries_and_exceptions():
     assert toxicity.weigh(" x ", toxicity.automaton((), ())) == 0
 
 
+def test_hits_against_a_naive_matcher():
+    rng = random.Random(6)
+    entries = ((" ab ", 1.0), (" abc", 2.0), (" b c ", 4.0), (" ca", 8.0))
+    exceptions = (" ab ab ", " c abc", " b c a ")
+    machine = toxicity.automaton(entries, exceptions)
+
+    def places(text, pattern):
+        return [(i, i + len(pattern)) for i in range(len(text)) if text.startswith(pattern, i)]
+    for _ in range(300):
+        text = " " + " ".join(rng.choice(["ab", "abc", "b", "c", "ca", "a", "abcd"]) for _ in range(rng.randint(0, 25))) + " "
+        covers = [p for e in exceptions for p in places(text, e)]
+        want = sum(w for e, w in entries for a, b in places(text, e) if not any(c <= a and b <= d for c, d in covers))
+        assert toxicity.weigh(text, machine) == want, text
+    long = " " + "ab ab abc ca " * 50_000   # hits and phrases in one pass
+    started = time.time()
+    assert toxicity.weigh(long, machine) > 0 and time.time() - started < 5
+
+
+def test_toxicity_labels_of_equal_texts_and_few_rows(spark):
+    """Equal texts count as toxic if one of them does, whatever the order; a
+    word of a few toxic rows is learned, one of copies isn't."""
+    rng = random.Random(7)
+    plain = lambda: " ".join("".join(rng.choices("defgh", k=4)) for _ in range(30))
+    rows = [(i, f"{plain()} zonkar {plain()} zonkar", 1) for i in range(5)] + [(10 + i, plain(), 0) for i in range(200)]
+    copied = plain() + " vrumbel"
+    rows += [(300 + i, copied + f" {i}", 1) for i in range(5)] + [(400, rows[0][1], 0), (401, rows[0][1], 0)]
+    frames = [spark.createDataFrame(r, "doc_id long, text string, y int").repartition(n) for r, n in ((rows, 1), (rows[::-1], 5))]
+    a, b = (toxicity.learn(f) for f in frames)
+    assert a.entries == b.entries and np.allclose(a.curve, b.curve)
+    learned = [p for p, w in a.entries if w != toxicity.SEED_WEIGHT]
+    assert any(" zonkar ".startswith(p) for p in learned) and not any("vrum" in p for p in learned)
+
+
 def test_toxicity_learns_and_generalises(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
@@ -209,6 +243,12 @@ def brute_anchors(text, k=syncmers.K, s=syncmers.S):
     return out
 
 
+def own_anchors(text):
+    """The anchors, or the own hash of a text without any."""
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    return brute_anchors(text) or ([(0, signed(xxhash.xxh64_intdigest(text.encode(), 42)))] if text else [])
+
+
 def brute_fingerprint(found):
     return "".join(sorted({f"{(h % (1 << 64)) >> 32:08x}" for _, h in found})[:syncmers.SKETCH])
 
@@ -229,7 +269,7 @@ def test_anchors_and_edits_against_brute_force(odd_docs, spark):
         got_anchors.setdefault(r.doc_id, []).append((r.pos, r.hash))
     for d, t, _ in sample:
         if d != 6:
-            assert sorted(got_anchors.get(d, [])) == brute_anchors(t or "")
+            assert sorted(got_anchors.get(d, [])) == own_anchors(t or "")
     for ranges in (1, 2, 7):
         got = Counter(tuple(r) for r in syncmers.edited_fingerprints(docs, ranges).collect())
         order = sorted(((d, t or "") for d, t, _ in sample), key=lambda r: (-(r[0] if r[0] is not None else -1), r[1]))
@@ -238,7 +278,7 @@ def test_anchors_and_edits_against_brute_force(odd_docs, spark):
             after = order[(i + 1) % len(order)][1]
             half = len(t) // 2
             e = t[:len(t) - half] + after[:half]
-            fps = [brute_fingerprint(brute_anchors(x)) for x in (t, e, after)]
+            fps = [brute_fingerprint(own_anchors(x)) for x in (t, e, after)]
             want[d, len(t), hashlib.sha256(e.encode()).hexdigest(), fps[0], fps[1],
                  brute_likeness(fps[0], fps[1]), brute_likeness(fps[0], fps[2])] += 1
         assert got == want
@@ -259,7 +299,7 @@ def test_short_texts_without_a_syncmer_keep_their_own_hash(spark):
     assert len(bare) > 15 and len(set(texts)) == len(texts)
     own = lambda t: brute_anchors(t) or [(0, xxhash.xxh64_intdigest(t.encode(), 42))]
     docs = spark.createDataFrame([*enumerate(texts), (-1, "")], "doc_id long, text string")
-    out = {r.doc_id: r for r in syncmers.edited_fingerprints(docs, 3, every=True).collect()}
+    out = {r.doc_id: r for r in syncmers.edited_fingerprints(docs, 3).collect()}
     assert [d for d, r in out.items() if r.fingerprint == ""] == [-1]
     assert len({out[i].fingerprint for i in range(len(texts))}) == len(texts)
     for i, t in enumerate(texts):
@@ -269,23 +309,62 @@ def test_short_texts_without_a_syncmer_keep_their_own_hash(spark):
         assert (out[i].fingerprint, out[i].edited_fingerprint) == (fps[0], fps[1])
         assert (out[i].near_edited, out[i].near_next) == (brute_likeness(fps[0], fps[1]), brute_likeness(fps[0], fps[2]))
     long = spark.createDataFrame([(2, "z" * 50), (1, bare[0])], "doc_id long, text string")
-    taken = syncmers.edited_fingerprints(long, every=True).filter("doc_id = 2").first()  # takes all of a text without a syncmer
+    taken = syncmers.edited_fingerprints(long).filter("doc_id = 2").first()  # takes all of a text without a syncmer
     assert taken.edited_fingerprint == brute_fingerprint(brute_anchors("z" * 25 + bare[0]))
 
 
-def brute_passage(t, after):
-    """The longest chain of anchors that the other text holds, neighbour by neighbour."""
-    if t == after:
-        return len(t)
-    own, other = (sorted(brute_anchors(x)) if len(x) >= syncmers.K else [] for x in (t, after))
-    links = {(h, q - p, g) for (p, h), (q, g) in zip(other, other[1:])}
-    best, start = 0, None
-    for (p, h), (q, g) in zip(own, own[1:]):
-        start = None if (h, q - p, g) not in links else p if start is None else start
-        best = max(best, 0 if start is None else q + syncmers.K - start)
+def longest_common(t, after):
+    """Length of the longest common substring, by a suffix automaton of ``t``."""
+    links, moves, sizes, last = [-1], [{}], [0], 0
+    for c in t:
+        new, p = len(sizes), last
+        sizes.append(sizes[last] + 1)
+        moves.append({})
+        links.append(0)
+        while p >= 0 and c not in moves[p]:
+            moves[p][c] = new
+            p = links[p]
+        if p >= 0:
+            q = moves[p][c]
+            if sizes[q] == sizes[p] + 1:
+                links[new] = q
+            else:
+                copy = len(sizes)
+                sizes.append(sizes[p] + 1)
+                moves.append(dict(moves[q]))
+                links.append(links[q])
+                while p >= 0 and moves[p].get(c) == q:
+                    moves[p][c] = copy
+                    p = links[p]
+                links[q] = links[new] = copy
+        last = new
+    best = at = size = 0
+    for c in after:
+        while at and c not in moves[at]:
+            at = links[at]
+            size = sizes[at]
+        if c in moves[at]:
+            at, size = moves[at][c], size + 1
+        best = max(best, size)
     return best
 
 
+def test_passages_are_common_substrings(spark):
+    rng = random.Random(15)
+    part = lambda n=300: "".join(rng.choices("abcdefghijklmnop qrstuvw", k=n))
+    x, y, z, junk = (part() for _ in range(4))
+    pairs = [(x + y + z, x + y + junk + y + z), (x + y, junk + y + x), (x, y), (x + junk + x, x), (part(30) + x + part(30), part(90) + x),
+             (x + "\U0001f642" + y, x + "\U0001f600" + y), (x * 5, x * 3), (part(20), part(20)), ("", x),
+             (x[:24], junk + x[:24] + z), (x + y, x[:150] + "#" + x[151:] + y)]
+    pairs += [(part(rng.randint(0, 200)) + (s := part(rng.randint(25, 120))) + part(50), part(rng.randint(0, 90)) + s + part(9)) for _ in range(60)]
+    docs = spark.createDataFrame(pairs, "a string, b string")
+    found = docs.select("a", "b", syncmers.passage(syncmers.chosen_anchors(F.col("a")), syncmers.chosen_anchors(F.col("b"))).alias("n"))
+    slack = 2 * (syncmers.K - syncmers.S - 1)
+    for r in found.collect():
+        true = longest_common(r.a, r.b)
+        assert r.n <= true and (r.n >= true - slack or true < 25), (r.n, true, r.a[:40], r.b[:40])
+
+
 def test_passages_in_long_texts_are_matched_by_position(spark):
     rng = random.Random(14)
     words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
@@ -293,10 +372,12 @@ def test_passages_in_long_texts_are_matched_by_position(spark):
     texts = [f"{words(5000)} {shared} {words(3000)}", f"{words(2500)} {shared} {words(4000)}", words(900), x, x, "", "ab" * 300,
              "ab" * 200, "short one", x[500:9000] + words(9) + x[9100:15000], x, words(40) + x[300:340] + words(40), x]
     docs = spark.createDataFrame([(100 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    out = {100 - r.doc_id: r for r in syncmers.edited_fingerprints(docs, 3, every=True, passages=True).collect()}
-    assert [out[i].passage_next for i in range(len(texts))] == [
-        brute_passage(t, texts[(i + 1) % len(texts)]) for i, t in enumerate(texts)]
-    assert out[0].near_next < 0.05 and len(shared) - 2 * 25 <= out[0].passage_next <= len(shared) + 2
+    out = {100 - r.doc_id: r for r in syncmers.edited_fingerprints(docs, 3, passages=True).collect()}
+    slack = 2 * (syncmers.K - syncmers.S - 1)
+    for i, t in enumerate(texts):
+        true = longest_common(t, texts[(i + 1) % len(texts)])
+        assert out[i].passage_next <= true and (out[i].passage_next >= true - slack or true < 25)
+    assert out[0].near_next < 0.05 and len(shared) - slack <= out[0].passage_next <= len(shared) + 2
     assert out[3].passage_next == len(x) and out[9].passage_next > 8400 and out[10].passage_next >= 16 and out[1].passage_next == 0
 
 
