@@ -2,15 +2,18 @@
 
 Every text is searched for credential-like candidates. The value of each
 candidate is hashed, and for each hash the distinct repositories and distinct
-owners that hold it are counted over the whole corpus. A value that several
-owners hold is a widely copied example (documentation, templates); one that
-belongs to a single owner and looks random is a credential that may be live.
+owners that hold it are counted over the whole corpus. Both counts decide
+(``kind_of``): a value of ``WIDE_OWNERS`` owners, or of ``WIDE_REPOSITORIES``
+repositories whoever owns them, is a widely copied example (documentation,
+templates); of the others a value that looks random is a credential that may be
+``live`` where one owner has it and ``shared`` where two have; one that doesn't
+look random is ``plain``.
 
 Base kinds (spans of the whole match, code points, end exclusive):
 ``assign`` (password = ...), ``access`` (AKIA...), ``hex`` (24 and more
 digits). Besides these, long mixed tokens that no base span covers are
-candidates (``token``). The method adds spans of the values: ``live`` for
-owner-specific, random-looking values, ``copied`` for widely copied ones.
+candidates (``token``). The method adds the spans of the values that are
+``live``, ``shared`` or ``copied``, and returns the largest counts of each text.
 
 Only candidates are shuffled, never texts. Counting goes through distinct
 (hash, repository, owner) rows, pre-aggregated before each shuffle, so a value
@@ -41,9 +44,10 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{32,}")
-KINDS = ("assign", "access", "hex", "live", "copied")
+KINDS = ("assign", "access", "hex", "live", "copied", "shared")
 MIN_VALUE, MIN_ACCESS = 6, 20
 WIDE_OWNERS = 3         # held by so many owners: a copied example
+WIDE_REPOSITORIES = 10  # held by so many repositories, even of one owner: likewise
 MIN_ENTROPY = 2.5       # bits a character of a random-looking value
 MIN_LIVE = 12           # characters of a random-looking value
 PLACEHOLDER = re.compile(r"example|sample|changeme|placeholder|dummy|your|xxxx|1234567", re.IGNORECASE)
@@ -62,12 +66,17 @@ def base_spans(text: str) -> list[tuple[int, int, str, int, int]]:
 
 
 def token_spans(text: str, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Long tokens with letters and digits that touch no covered span."""
-    out = []
+    """Long tokens with letters and digits that touch no covered span; one
+    pass over both, by position."""
+    out, at, reach = [], 0, 0
+    covered = sorted(covered)
     for m in TOKEN.finditer(text):
+        # covered spans that start before the token's end: the farthest end decides
+        while at < len(covered) and covered[at][0] < m.end():
+            reach = max(reach, covered[at][1])
+            at += 1
         v = m[0]
-        if (any(c.isdigit() for c in v) and any(c.isalpha() for c in v)
-                and not any(a < m.end() and m.start() < b for a, b in covered)):
+        if reach <= m.start() and any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
             out.append((m.start(), m.end()))
     return out
 
@@ -118,14 +127,20 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
 
 
-def classified(scanned: DataFrame, wide: int = WIDE_OWNERS) -> DataFrame:
-    """``scanned`` rows (with their ``row``) and ``added``: the method's spans."""
+def kind_of(owners: Column, repositories: Column, random: Column, wide: int = WIDE_OWNERS,
+            wide_repositories: int = WIDE_REPOSITORIES) -> Column:
+    """copied, live, shared or plain."""
+    return (F.when((owners >= wide) | (repositories >= wide_repositories), "copied")
+            .when(random & (owners == 1), "live").when(random, "shared").otherwise("plain"))
+
+
+def classified(scanned: DataFrame, wide: int = WIDE_OWNERS, wide_repositories: int = WIDE_REPOSITORIES) -> DataFrame:
+    """``scanned`` rows (with their ``row``) and ``added``: their values with kind and counts."""
     found = scanned.select("row", F.inline("values"))
     frequency = checkpointed(ownership(scanned))
-    kind = F.when(F.col("owners") >= wide, "copied").when((F.col("owners") == 1) & F.col("random"), "live")
-    added = (found.join(frequency, "hash").withColumn("kind", kind).filter(F.col("kind").isNotNull())
-             .groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind", "owners", "repositories"))
-                                 .alias("added")))  # the spans of one document
+    kind = kind_of(F.col("owners"), F.col("repositories"), F.col("random"), wide, wide_repositories)
+    added = (found.join(frequency, "hash").withColumn("kind", kind).groupBy("row").agg(F.collect_list(
+        F.struct("start", "end", "kind", "owners", "repositories")).alias("added")))  # the values of one document
     return scanned.join(added, "row", "left")
 
 
@@ -133,17 +148,18 @@ def rank_of(kind: Column) -> Column:
     return F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind)
 
 
-def scan_documents(docs: DataFrame, wide: int = WIDE_OWNERS) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied
-    of every row."""
+def scan_documents(docs: DataFrame, wide: int = WIDE_OWNERS, wide_repositories: int = WIDE_REPOSITORIES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied,
+    n_shared, n_plain, and the most owners and repositories of a value (0: no
+    value) of every row."""
     scanned = checkpointed(scan(docs).withColumn("row", F.monotonically_increasing_id()))
-    rows = classified(scanned, wide)
+    rows = classified(scanned, wide, wide_repositories)
     parts = F.transform(F.filter(F.split("base", ","), lambda s: s != ""), lambda s: F.split(s, ":"))
     base = F.transform(parts, lambda p: F.struct(F.get(p, F.lit(1)).cast("int").alias("start"),
                                                  rank_of(F.get(p, F.lit(0))).cast("int").alias("rank"),
                                                  F.get(p, F.lit(2)).cast("int").alias("end"),
                                                  F.get(p, F.lit(0)).alias("kind")))
-    added = F.transform("added", lambda s: F.struct(s["start"].alias("start"), rank_of(s["kind"]).cast("int").alias("rank"),
+    added = F.transform(F.filter("added", lambda s: s["kind"] != "plain"), lambda s: F.struct(s["start"].alias("start"), rank_of(s["kind"]).cast("int").alias("rank"),
                                                     s["end"].alias("end"), s["kind"].alias("kind")))
     everything = F.array_sort(F.concat(base, F.coalesce(added, F.array().cast(
         "array<struct<start:int,rank:int,end:int,kind:string>>"))))
@@ -153,4 +169,6 @@ def scan_documents(docs: DataFrame, wide: int = WIDE_OWNERS) -> DataFrame:
     def number(kind: str) -> Column:
         return F.coalesce(F.size(F.filter("added", lambda s: s["kind"] == kind)), F.lit(0)).cast("long")
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"),
-                       spans.alias("spans"), number("live").alias("n_live"), number("copied").alias("n_copied"))
+                       spans.alias("spans"), *[number(k).alias(f"n_{k}") for k in ("live", "copied", "shared", "plain")],
+                       *[F.coalesce(F.array_max(f"added.{c}"), F.lit(0)).cast("long").alias(f"most_{c}")
+                         for c in ("owners", "repositories")])

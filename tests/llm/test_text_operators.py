@@ -599,13 +599,54 @@ def test_secret_spans_and_ownership(spark):
     live = lambda d: out[d].n_live
     assert (live(1), live(2), live(3), live(None)) == (2, 2, 1, 1)      # one owner each
     assert all(out[d].n_copied == 1 and live(d) == 0 for d in (4, 5, 6))  # three owners
-    assert live(7) == live(12) == out[12].n_copied == 0                 # placeholder; two owners: undecided
+    assert live(7) == 0 and out[7].n_plain == 1                           # a placeholder
+    assert all((live(d), out[d].n_shared, out[d].most_owners) == (0, 1, 2) for d in (12, 13))  # two owners
+    assert (out[4].most_owners, out[4].most_repositories, out[10].most_owners) == (3, 3, 0)
     f = secret_scan.ownership(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")))
     counts = {r.hash: (r.repositories, r.owners) for r in f.collect()}
     assert counts[hashlib.sha256(hexes[1].encode()).hexdigest()] == (2, 1)
     assert counts[hashlib.sha256(hexes[2].encode()).hexdigest()] == (3, 3)
 
 
+def test_kinds_follow_both_counts(spark):
+    """Owners and repositories of random values against plain counting."""
+    rng = random.Random(16)
+    values = ["".join(rng.choices("0123456789abcdef", k=32)) for _ in range(40)] + ["aaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    rows = [(i, f"x {rng.choice(values[:k + 1])} y secret={rng.choice(values)}", f"o{min(rng.randint(0, k), 3)}")
+            for k in range(40) for i in range(100 * k, 100 * k + rng.choice([1, 2, 14]))]
+    out = secret_scan.scan_documents(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    held = {v: ({o for _, t, o in rows if v in t}, {d for d, t, _ in rows if v in t}) for v in values}
+    text = {d: t for d, t, _ in rows}
+    seen = set()
+    for r in out:
+        spans = {s.split(":")[0]: s for s in r.spans.split(",")}
+        for v in {v for v in values if v in text[r.doc_id]}:
+            owners, repositories = held[v]
+            random_looking = secret_scan.looks_random(v)
+            want = ("copied" if len(owners) >= 3 or len(repositories) >= 10 else "plain" if not random_looking
+                    else "live" if len(owners) == 1 else "shared")
+            seen.add(want)
+            at = text[r.doc_id].index(v)
+            assert (f"{want}:{at}:{at + len(v)}" in r.spans.split(",")) == (want != "plain"), (v, want, r.spans)
+        assert r.most_repositories == max(len(held[v][1]) for v in values if v in text[r.doc_id]), spans
+    assert seen >= {"copied", "live", "shared"}
+
+
+def test_long_tokens_in_one_pass():
+    text = " ".join(f"{'xy1' * 12}{i}" if i % 2 else f"secret={'xy1' * 12}{i}" for i in range(30_000))
+    started = time.time()
+    covered = [(a, b) for a, b, *_ in secret_scan.base_spans(text)]
+    got = secret_scan.token_spans(text, covered)
+    assert time.time() - started < 5 and len(got) == 15_000
+    rng = random.Random(17)
+    for _ in range(100):
+        short = "".join(rng.choice(["a1" * 20, " ", "x", "b2" * 17]) for _ in range(12))
+        some = [(a, a + rng.randint(1, 60)) for a in rng.sample(range(200), 4)]
+        assert secret_scan.token_spans(short, some) == [
+            m.span() for m in secret_scan.TOKEN.finditer(short) if not any(a < m.end() and m.start() < b for a, b in some)
+            and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
+
+
 def test_secrets_odd_cases(odd_docs, no_docs):
     assert secret_scan.scan_documents(odd_docs).count() == len(TEXTS)
     assert secret_scan.scan_documents(no_docs).count() == 0
