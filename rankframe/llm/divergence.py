@@ -15,11 +15,11 @@ cell. Equal values of several cells are merged, values are ranked by the
 cumulative number of terms above them, and only cells that begin within the
 wanted ranks are expanded into terms, in UTF-8 order.
 
-*Pairs of groups.* A kept term is one vector of (source, share); terms with
-equal vectors are one cell with a multiplicity. Cells are dealt by a hash over
-as many salts as the number of counts asks for, and each task adds up the
-divergences of ``SOURCES`` sources against all of the language, chunk by chunk
-in NumPy, so that a task sends sums and no pair of a single term.
+*Pairs of groups.* A kept term is one vector of (source, count). Vectors are
+dealt by a hash over as many salts as the number of counts asks for, and each
+task adds up the divergences of ``SOURCES`` sources against all of the
+language, chunk by chunk in NumPy, so that a task sends sums and no pair of a
+single term.
 
 Terms are counted inside the tasks that read the texts, so that only
 (lang, source, term) counts move, combined once more before the shuffle.
@@ -149,33 +149,43 @@ def term_part(audit: Audit, top: int = TOP) -> DataFrame:
             .select("lang", "source", F.col("term").alias("item"), "value", "rank"))
 
 
-def compare(cells: pd.DataFrame, sources: pd.DataFrame, sources_at_once: int = SOURCES) -> pd.DataFrame:
-    """Summed divergences of the sources marked ``own`` against all of the
-    language; a cell has ``numbers``, ``shares`` and the ``terms`` it stands for."""
+def shares_of(counts: np.ndarray, totals: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """``share`` in a task: 64 bits while the product fits, whole Python numbers beyond."""
+    if len(counts) and counts.max() >= (1 << 63) // SCALE - 2:
+        return np.array([1 + SCALE * (int(n) + 2) // (int(t) + 2 * int(v))
+                         for n, t, v in zip(counts, totals, terms, strict=True)], dtype=np.int64)
+    return 1 + SCALE * (counts + 2) // (totals + 2 * terms)
+
+
+def compare(vectors: pd.DataFrame, sources: pd.DataFrame, sources_at_once: int = SOURCES) -> pd.DataFrame:
+    """Summed divergences of the sources of the block against all of the
+    language; a term's vector has the ``numbers`` of its sources and its
+    ``counts`` there."""
     sources = sources.sort_values("number")
     base = sources["p0"].to_numpy(dtype=np.int64)
+    totals, kept = (sources[c].to_numpy(dtype=np.int64) for c in ("total", "v"))
     own = np.flatnonzero(sources["number"].to_numpy() // sources_at_once == sources["block"].iloc[0])
     sums = np.zeros((len(own), len(base)), dtype=np.int64)
     step = max(1, CHUNK // max(1, sums.size))
-    terms = cells["terms"].to_numpy(dtype=np.int64)
-    for start in range(0, len(cells), step):
-        part = cells.iloc[start:start + step]
+    for start in range(0, len(vectors), step):
+        part = vectors.iloc[start:start + step]
         p = np.tile(base, (len(part), 1))
         rows = np.repeat(np.arange(len(part)), [len(x) for x in part["numbers"]])
-        p[rows, np.concatenate(part["numbers"].to_list())] = np.concatenate(part["shares"].to_list())
+        at = np.concatenate(part["numbers"].to_list()).astype(np.int64)
+        counts = np.concatenate(part["counts"].to_list()).astype(np.int64)
+        p[rows, at] = shares_of(counts, totals[at], kept[at])
         mine, every = p[:, own, None], p[:, None, :]
-        value = (mine - every) ** 2 // (mine + every)
-        sums += (value * terms[start:start + step, None, None]).sum(axis=0)
+        sums += ((mine - every) ** 2 // (mine + every)).sum(axis=0)
     at = np.repeat(own, len(base))
     return pd.DataFrame({"a": sources["number"].to_numpy()[at], "b": np.tile(sources["number"], len(own)),
                          "value": sums.ravel()})
 
 
-def _sums(key: tuple, cells: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+def _sums(key: tuple, vectors: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
     lang = key[0]
     if not len(sources):
         return pd.DataFrame({"lang": [], "a": [], "b": [], "value": []})
-    out = compare(cells, sources)
+    out = compare(vectors, sources)
     out.insert(0, "lang", lang)
     return out[out["a"] != out["b"]]
 
@@ -183,18 +193,17 @@ def _sums(key: tuple, cells: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFram
 def pair_part(audit: Audit) -> DataFrame:
     """(lang, source, item, value, rank): the other sources of the language,
     farthest first."""
-    entry = F.struct("number", share(F.col("n"), F.col("total"), F.col("v")).alias("p"))
-    vectors = (audit.held.join(audit.sizes, ["lang", "source"])
-               .groupBy("lang", "term").agg(F.sort_array(F.collect_list(entry)).alias("vector")))
-    cells = vectors.groupBy("lang", "vector").agg(F.count("*").alias("terms"))
+    vectors = (audit.held.join(audit.sizes.select("lang", "source", "number"), ["lang", "source"])
+               .groupBy("lang", "term").agg(F.collect_list(F.struct("number", "n")).alias("vector")))  # one entry a source
     salts = max(1, -(-audit.held.count() // SALT_COUNTS))
     blocks = audit.sizes.groupBy("lang").agg(F.floor(F.max("number") / SOURCES).alias("last"))
-    left = (cells.join(blocks, "lang")
+    left = (vectors.join(blocks, "lang")
             .select("lang", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"),
-                    F.pmod(F.xxhash64("vector"), F.lit(salts)).cast("int").alias("salt"),
-                    F.col("vector.number").alias("numbers"), F.col("vector.p").alias("shares"), "terms"))
+                    F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int").alias("salt"),
+                    F.col("vector.number").alias("numbers"), F.col("vector.n").alias("counts")))
     right = (audit.sizes.join(blocks, "lang")
-             .select("lang", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), "number", "p0")
+             .select("lang", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"), "number", "p0",
+                     "total", "v")
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     keys = ("lang", "block", "salt")
     sums = (left.groupBy(*keys).cogroup(right.groupBy(*keys))

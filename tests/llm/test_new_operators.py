@@ -283,6 +283,9 @@ def test_shares_and_values_are_exact_beyond_64_bits(spark):
     df = spark.createDataFrame(cases, "n long, total long, v long")
     got = [r[0] for r in df.select(divergence.share(F.col("n"), F.col("total"), F.col("v"))).collect()]
     assert got == [1 + 10**9 * (n + 2) // (t + 2 * v) for n, t, v in cases]
+    arrays = [np.array(x) for x in zip(*cases)]
+    assert divergence.shares_of(*arrays).tolist() == got
+    assert divergence.shares_of(*(x[[0, 2]] for x in arrays)).tolist() == [got[0], got[2]]
     pq = [(1, 1), (10**9 + 1, 1), (3, 10**9), (123_456_789, 987_654_321)]
     got = [r[0] for r in spark.createDataFrame(pq, "p long, q long").select(divergence.divergence(F.col("p"), F.col("q"))).collect()]
     assert got == [(p - q) ** 2 // (p + q) for p, q in pq]
