@@ -21,8 +21,11 @@ task adds up the divergences of ``SOURCES`` sources against all of the
 language, chunk by chunk in NumPy, so that a task sends sums and no pair of a
 single term.
 
-Terms are counted inside the tasks that read the texts, so that only
-(lang, source, term) counts move, combined once more before the shuffle.
+Terms are counted inside the tasks that read the texts, so that only counts by
+(lang, source number, term) move, and they move once, by (lang, term): adding
+them up, keeping the terms of enough documents and gathering a term's vector
+all use that partitioning. A row of that shuffle stands for one term of one
+source in one task, however often the term occurs.
 
 Defined cases: a null text, lang or source is empty; a group without kept
 terms takes part in pairs with count 0 for each of them; a language without
@@ -42,7 +45,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, small
 
 # --- fixed values ---------------------------------------------------------------
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -85,10 +88,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of each term, and documents with it."""
+    """(lang, source, term, n, docs): occurrences of each term, and documents
+    with it, as counted by each task (not yet added up)."""
     texts = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return (texts.mapInPandas(_count, _COUNTED).groupBy("lang", "source", "term")
-            .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    return texts.mapInPandas(_count, _COUNTED)
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -109,43 +112,46 @@ def divergence(p: Column, q: Column) -> Column:
 
 
 class Audit:
-    """Counts of the kept terms, checkpointed, and the sizes around them."""
+    """Vectors of the kept terms, checkpointed, and the sizes around them."""
 
     def __init__(self, docs: DataFrame, min_docs: int = MIN_DOCS):
-        counts = checkpointed(counted(docs))
-        kept = (counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-                .filter(F.col("docs") >= min_docs).drop("docs"))
-        self.held = checkpointed(counts.drop("docs").join(kept, ["lang", "term"]))
-        # every kept term stands in some group, so the counts tell V and both N
-        langs = (self.held.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n"))
-                 .groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total")))
-        groups = (docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
-                  .distinct())
-        totals = self.held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-        sized = groups.join(langs, "lang", "left").join(totals, ["lang", "source"], "left").na.fill(
-            0, ["v", "lang_total", "total"])
+        groups = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
         number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
-        self.sizes = checkpointed(sized.withColumn("number", number).withColumn(
+        groups = checkpointed(groups.withColumn("number", number))
+        counts = (counted(docs).join(small(groups), ["lang", "source"]).repartition("lang", "term")
+                  .groupBy("lang", "term", "number").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+        self.vectors = checkpointed(
+            counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"),
+                                               F.collect_list(F.struct("number", "n")).alias("vector"))
+            .filter(F.col("docs") >= min_docs).drop("docs"))
+        self.held = self.vectors.select("lang", "term", "lang_n", F.inline("vector"))
+        # every kept term stands in some group, so the vectors tell V and both N
+        langs = self.vectors.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
+        totals = self.held.groupBy("lang", "number").agg(F.sum("n").alias("total"))
+        sized = groups.join(langs, "lang", "left").join(totals, ["lang", "number"], "left").na.fill(
+            0, ["v", "lang_total", "total"])
+        self.sizes = checkpointed(sized.withColumn(
             "p0", F.coalesce(share(F.lit(0), F.col("total"), F.col("v")), F.lit(1))))
 
 
 def term_part(audit: Audit, top: int = TOP) -> DataFrame:
     """(lang, source, item, value, rank): the terms that a group uses more."""
-    cells = (audit.held.groupBy("lang", "source", "n", "lang_n").agg(F.count("*").alias("terms"))
-             .join(audit.sizes.drop("number", "p0"), ["lang", "source"])
+    cells = (audit.held.groupBy("lang", "number", "n", "lang_n").agg(F.count("*").alias("terms"))
+             .join(small(audit.sizes.drop("source", "p0")), ["lang", "number"])
              .withColumn("p", share(F.col("n"), F.col("total"), F.col("v")))
              .withColumn("q", share(F.col("lang_n"), F.col("lang_total"), F.col("v")))
              .filter(F.col("p") > F.col("q")).withColumn("value", divergence(F.col("p"), F.col("q")))
-             .select("lang", "source", "n", "lang_n", "value", "terms"))
-    better = (Window.partitionBy("lang", "source").orderBy(F.desc("value"))
+             .select("lang", "number", "n", "lang_n", "value", "terms"))
+    better = (Window.partitionBy("lang", "number").orderBy(F.desc("value"))
               .rowsBetween(Window.unboundedPreceding, -1))
-    values = (cells.groupBy("lang", "source", "value").agg(F.sum("terms").alias("terms"))
+    values = (cells.groupBy("lang", "number", "value").agg(F.sum("terms").alias("terms"))
               .withColumn("above", F.coalesce(F.sum("terms").over(better), F.lit(0)))
               .filter(F.col("above") < top).drop("terms"))
-    wanted = cells.drop("terms").join(values, ["lang", "source", "value"])
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "term")
-    return (audit.held.join(wanted, ["lang", "source", "n", "lang_n"])
+    wanted = checkpointed(cells.drop("terms").join(values, ["lang", "number", "value"]))
+    order = Window.partitionBy("lang", "number").orderBy(F.desc("value"), "term")
+    return (audit.held.join(small(wanted), ["lang", "number", "n", "lang_n"])
             .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+            .join(small(audit.sizes.select("lang", "number", "source")), ["lang", "number"])
             .select("lang", "source", F.col("term").alias("item"), "value", "rank"))
 
 
@@ -193,11 +199,10 @@ def _sums(key: tuple, vectors: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFr
 def pair_part(audit: Audit) -> DataFrame:
     """(lang, source, item, value, rank): the other sources of the language,
     farthest first."""
-    vectors = (audit.held.join(audit.sizes.select("lang", "source", "number"), ["lang", "source"])
-               .groupBy("lang", "term").agg(F.collect_list(F.struct("number", "n")).alias("vector")))  # one entry a source
-    salts = max(1, -(-audit.held.count() // SALT_COUNTS))
+    entries = audit.vectors.agg(F.sum(F.size("vector"))).first()[0] or 0
+    salts = max(1, -(-entries // SALT_COUNTS))
     blocks = audit.sizes.groupBy("lang").agg(F.floor(F.max("number") / SOURCES).alias("last"))
-    left = (vectors.join(blocks, "lang")
+    left = (audit.vectors.join(small(blocks), "lang")
             .select("lang", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"),
                     F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int").alias("salt"),
                     F.col("vector.number").alias("numbers"), F.col("vector.n").alias("counts")))
