@@ -12,22 +12,40 @@ Build plan: one scan tokenises each document into an analysed token array
 shuffle); document lengths come from the array size; postings are a
 partial-aggregated ``groupBy(term, docno)``. With a stemmer, stems are
 computed once per *distinct* token and joined back (AQE splits skewed terms).
+
+A written index keeps its postings, lexicon and positions in folders by a hash
+bucket of the term, and the postings once more by a bucket of the document (the
+direct index). ``read`` opens only the buckets of the wanted terms or documents.
+Every build has a folder of its own and counts once a commit, written last,
+names it: a crashed build is never seen, and a forced one replaces the earlier
+build at once. Of several commits the last by name holds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT, Analyzer
 
-ANALYZER_SCHEMA = "stopwords string, stemmer string, max_term_length int"
+COMMIT_SCHEMA = "build string, buckets int, positions boolean, stopwords string, stemmer string, max_term_length int"
+BUCKETS = 256   # folders of a stored table; a lookup reads those of its terms or documents
+#: stored table → the column whose hash names the bucket, and the columns
+STORED = {"postings": ("term", "term string, docno string, tf bigint, dl bigint"),
+          "lexicon": ("term", "term string, df bigint, cf bigint"),
+          "positions": ("term", "term string, docno string, dl int, pos array<int>"),
+          "direct": ("docno", "docno string, term string, tf bigint, dl bigint")}
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
 
 @dataclass
@@ -40,6 +58,18 @@ class Index:
     positions: DataFrame | None = None
     extra: dict = field(default_factory=dict)
     surface: DataFrame | None = None   # (term, cf) of unstemmed forms; the lexicon without a stemmer
+    stored: dict[str, DataFrame] = field(default_factory=dict)   # tables by bucket, of a reopened index
+    buckets: int = BUCKETS
+
+    def read(self, name: str, keys: DataFrame) -> DataFrame:
+        """The ``postings``, ``lexicon``, ``positions`` or ``direct`` index
+        (docno, term, tf, dl) to look the terms or documents of ``keys`` up in:
+        of a stored index only their buckets (at most ``buckets`` numbers reach
+        the driver), otherwise the whole table."""
+        if name not in self.stored:
+            return self.postings if name == "direct" else getattr(self, name)
+        found = keys.select(bucket_of(STORED[name][0], self.buckets).alias("bucket")).distinct().collect()
+        return self.stored[name].filter(F.col("bucket").isin([r["bucket"] for r in found])).drop("bucket")
 
     # -- identity ---------------------------------------------------------
     @cached_property
@@ -73,25 +103,31 @@ class Index:
             "num_postings bigint, avg_dl double")
 
     # -- persistence ------------------------------------------------------
-    def write(self, path: str, mode: str = "errorifexists") -> "Index":
-        """Write the index tables as parquet. Postings are range-partitioned
-        and sorted by term so a term lookup reads few row groups."""
-        (self.postings.repartitionByRange("term", "docno").sortWithinPartitions("term", "docno")
-         .write.mode(mode).parquet(os.path.join(path, "postings")))
-        self.lexicon.write.mode(mode).parquet(os.path.join(path, "lexicon"))
-        self.doc_lengths.write.mode(mode).parquet(os.path.join(path, "doc_lengths"))
+    def write(self, path: str, mode: str = "errorifexists", buckets: int = BUCKETS) -> "Index":
+        """Write a build below ``path`` and commit it. ``mode``: errorifexists
+        refuses a path with a committed index, overwrite commits a new build."""
         spark = self.postings.sparkSession
-        (self.stats_frame(spark).coalesce(1).write.mode(mode)
-         .parquet(os.path.join(path, "collection_stats")))
-        if self.positions is not None:
-            (self.positions.repartitionByRange("term", "docno").sortWithinPartitions("term", "docno")
-             .write.mode(mode).parquet(os.path.join(path, "positions")))
+        done = _commits(spark, path)
+        if done and mode != "overwrite":
+            raise FileExistsError(f"{path} holds an index")
+        build = uuid.uuid4().hex
+        folder = os.path.join(path, "builds", build)
+        tables = {"postings": self.postings, "lexicon": self.lexicon, "positions": self.positions,
+                  "direct": self.postings.select("docno", "term", "tf", "dl")}
+        for name, (key, _) in STORED.items():
+            if tables[name] is not None:
+                # ranges cut a frequent term's bucket into several files, by document
+                order = ["bucket", key, *(c for c in ("docno", "term") if c != key and c in tables[name].columns)]
+                (tables[name].withColumn("bucket", bucket_of(key, buckets)).repartitionByRange(*order)
+                 .sortWithinPartitions(*order).write.partitionBy("bucket").parquet(os.path.join(folder, name)))
+        self.doc_lengths.write.parquet(os.path.join(folder, "doc_lengths"))
+        self.stats_frame(spark).coalesce(1).write.parquet(os.path.join(folder, "collection_stats"))
         if self.surface is not None:
-            self.surface.write.mode(mode).parquet(os.path.join(path, "surface"))
-        # written last: an index with an analyzer table is complete
-        (spark.createDataFrame([(self.analyzer.stopwords, self.analyzer.stemmer, self.analyzer.max_term_length)],
-                               ANALYZER_SCHEMA)
-         .coalesce(1).write.mode(mode).parquet(os.path.join(path, "analyzer")))
+            self.surface.write.parquet(os.path.join(folder, "surface"))
+        number = int(os.path.basename(done[-1]).split("-")[0]) + 1 if done else 0
+        (spark.createDataFrame([(build, buckets, self.positions is not None, self.analyzer.stopwords,
+                                 self.analyzer.stemmer, self.analyzer.max_term_length)], COMMIT_SCHEMA)
+         .coalesce(1).write.parquet(os.path.join(path, "commits", f"{number:012d}-{build}")))
         return self
 
     @staticmethod
@@ -99,30 +135,37 @@ class Index:
         """Reopen a written index with the analyzer it was built with; another
         ``analyzer`` is an error, for its terms would not be found."""
         from ..sinks import path_exists
-        stats_row = spark.read.parquet(os.path.join(path, "collection_stats")).first()
-        stored = Analyzer(**spark.read.parquet(os.path.join(path, "analyzer")).first().asDict())
-        if analyzer is not None and analyzer != stored:
-            raise ValueError(f"{path} was indexed with {stored}, not {analyzer}")
-        surface_path = os.path.join(path, "surface")
-        pos_path = os.path.join(path, "positions")
-        positions = spark.read.parquet(pos_path) if path_exists(spark, pos_path) else None
+        done = _commits(spark, path)
+        if not done:
+            raise FileNotFoundError(f"{path} holds no committed index")
+        commit = spark.read.schema(COMMIT_SCHEMA).parquet(done[-1]).first()
+        found = Analyzer(commit["stopwords"], commit["stemmer"], commit["max_term_length"])
+        if analyzer is not None and analyzer != found:
+            raise ValueError(f"{path} was indexed with {found}, not {analyzer}")
+        folder = os.path.join(path, "builds", commit["build"])
+        stored = {name: spark.read.schema(f"{columns}, bucket int").parquet(os.path.join(folder, name))
+                  for name, (_, columns) in STORED.items() if name != "positions" or commit["positions"]}
+        whole = {name: df.drop("bucket") for name, df in stored.items()}
+        surface = os.path.join(folder, "surface")
         return Index(
-            postings=spark.read.parquet(os.path.join(path, "postings")),
-            lexicon=spark.read.parquet(os.path.join(path, "lexicon")),
-            doc_lengths=spark.read.parquet(os.path.join(path, "doc_lengths")),
-            stats=stats_row.asDict(), analyzer=stored, positions=positions,
-            surface=spark.read.parquet(surface_path) if path_exists(spark, surface_path) else None)
+            postings=whole["postings"], lexicon=whole["lexicon"], positions=whole.get("positions"),
+            doc_lengths=spark.read.parquet(os.path.join(folder, "doc_lengths")),
+            stats=spark.read.parquet(os.path.join(folder, "collection_stats")).first().asDict(), analyzer=found,
+            surface=spark.read.parquet(surface) if path_exists(spark, surface) else None,
+            stored=stored, buckets=commit["buckets"])
 
     @staticmethod
     def open_or_build(corpus: DataFrame, path: str, analyzer: Analyzer = DEFAULT, force: bool = False,
-                      **options) -> "Index":
-        """The index at ``path``, built from ``corpus`` and written if it is
-        missing or ``force`` is set."""
-        from ..sinks import path_exists
+                      buckets: int = BUCKETS, **options) -> "Index":
+        """The index at ``path``, built from ``corpus`` and written if there is
+        none, if it lacks the positions that are asked for, or if ``force`` is set."""
         spark = corpus.sparkSession
-        if force or not path_exists(spark, os.path.join(path, "analyzer")):
+        done = _commits(spark, path)
+        lacking = (done and options.get("positions")
+                   and not spark.read.schema(COMMIT_SCHEMA).parquet(done[-1]).first()["positions"])
+        if force or not done or lacking:
             built = build_index(corpus, analyzer, **options)
-            built.write(path, mode="overwrite")
+            built.write(path, mode="overwrite", buckets=buckets)
             built.unpersist()
         return Index.load(spark, path, analyzer)
 
@@ -141,6 +184,12 @@ class Index:
                 df.unpersist()
 
 
+def _commits(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the complete commits of an index, first to last."""
+    from ..sinks import child_folders, path_exists
+    return [f for f in child_folders(spark, os.path.join(path, "commits")) if path_exists(spark, f"{f}/_SUCCESS")]
+
+
 def analysed_tokens(corpus: DataFrame, analyzer: Analyzer, text_col: str = "text",
                     with_positions: bool = False) -> DataFrame:
     """(docno, dl, term[, pos]) — one row per kept token occurrence, stemmed.
@@ -219,7 +268,7 @@ def term_positions(idx: Index, terms: DataFrame) -> DataFrame:
     from ..session import bounded_broadcast
     t = bounded_broadcast(terms.select("term").distinct())
     if idx.positions is not None:
-        return (idx.positions.join(t, "term")
+        return (idx.read("positions", terms).join(t, "term")
                 .select("term", "docno", "dl", F.explode("pos").alias("p")))
     if "corpus" not in idx.extra:
         raise ValueError("the index holds no positions: build it with positions=True")

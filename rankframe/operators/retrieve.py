@@ -71,8 +71,9 @@ def score_matches(index: Index, q, models=("BM25",), postings: DataFrame | None
 
     ``candidates`` (qid, docno) restricts the matches before aggregation."""
     stats = stats or index.stats
-    m = matched_postings(postings if postings is not None else index.postings,
-                         lexicon if lexicon is not None else index.lexicon, q)
+    q = _as_qt(q)
+    m = matched_postings(postings if postings is not None else index.read("postings", q.df),
+                         lexicon if lexicon is not None else index.read("lexicon", q.df), q)
     if candidates is not None:
         m = m.join(bounded_broadcast(candidates.select("qid", "docno")), ["qid", "docno"])
     aggs = [F.sum(model_fn(name)(F.col("tf"), F.col("dl"), F.col("df"), F.col("cf"),

@@ -139,8 +139,9 @@ def sdm_query(index: Index, topics: DataFrame):
     pp = pp.select(F.col("clause").alias("term"), "docno", "tf", "dl").persist()
     plex = pp.groupBy("term").agg(F.count("*").cast("bigint").alias("df"),
                                   F.sum("tf").cast("bigint").alias("cf"))
-    postings = index.postings.select("term", "docno", "tf", "dl").unionByName(pp)
-    lexicon = index.lexicon.unionByName(plex)
+    words = cl.filter(F.col("kind") == "u").select(F.col("clause").alias("term"))
+    postings = index.read("postings", words).select("term", "docno", "tf", "dl").unionByName(pp)
+    lexicon = index.read("lexicon", words).unionByName(plex)
     qt = cl.select("qid", F.col("clause").alias("term"), F.col("weight").alias("qtf"))
     return postings, lexicon, QueryTerms(qt)
 
@@ -149,11 +150,11 @@ def sdm_query(index: Index, topics: DataFrame):
 
 def _feedback_bags(index: Index, run: DataFrame, fb_docs: int) -> DataFrame:
     """(qid, docno, score, term, tf, dl) for the fb_docs best documents of
-    each query; the feedback set is small and broadcast into the postings
-    scan (docno lookup), no shuffle of postings."""
-    fb = run.filter(F.col("rank") < fb_docs).select("qid", "docno", "score")
-    fb = bounded_broadcast(fb)
-    return index.postings.join(fb, "docno")
+    each query. The feedback set is small and broadcast: into the direct index
+    of a stored index, of which only the buckets of these documents are read,
+    else into the postings; neither is shuffled."""
+    fb = run.filter(F.col("rank") < fb_docs).select("qid", "docno", "score").persist()
+    return index.read("direct", fb).join(bounded_broadcast(fb), "docno")
 
 
 def bo1_terms(index: Index, run: DataFrame, qterms: DataFrame,

@@ -4,10 +4,14 @@ every registered query (the index tables are persisted)."""
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import RAW, STOP_ONLY, Analyzer
 from ..operators.index import Index, build_index
+from ..session import ensure_checkpoint_dir
 from ..sources import collection as col
 
 # Analyzer of the registered queries: the SQL oracle has no stemmer offline,
@@ -42,6 +46,16 @@ class Ctx:
             self._index[key] = build_index(self.corpus, analyzer, positions=positions)
         return self._index[key]
 
+    def stored_index(self) -> Index:
+        """The index with positions, written below the shared folder (once a
+        session, so that it never outlives its tables) and reopened."""
+        if "stored" not in self._memo:
+            name = hashlib.md5(self.sf_dir.encode()).hexdigest()
+            path = os.path.join(ensure_checkpoint_dir(self.spark), "rankframe-index",
+                                f"{self.spark.sparkContext.applicationId}-{name}")
+            self._memo["stored"] = Index.open_or_build(self.corpus, path, QUERY_ANALYZER, buckets=64, positions=True)
+        return self._memo["stored"]
+
     def qterms(self, analyzer: Analyzer = QUERY_ANALYZER):
         """Size-checked, persisted query-term table of the topics."""
         from ..operators.retrieve import QueryTerms, query_terms

@@ -492,3 +492,8 @@ ORACLE["inline_topics"] = run_ctes("BM25", 10, topics_cte=(
 
 # the cached stage must return what the plain one does
 ORACLE["cached_retrieve"] = ORACLE["bm25_topk"]
+
+# a reopened index must return what the one in memory does
+for key, same in [("stored_bm25", "bm25_topk"), ("stored_bo1", "bo1_bm25"), ("stored_rm3", "rm3_bm25"),
+                  ("stored_sdm", "sdm_bm25")]:
+    ORACLE[key] = ORACLE[same]

@@ -71,8 +71,9 @@ def _rm3(c):
     return c.memo("rm3", lambda: rw.rm3_terms(c.index(), _fb_run(c), c.qterms().df).persist())
 
 
-def _feedback(c, kind):
-    return _stage(c, "BM25", 3) >> Feedback(c.index(), kind) >> _stage(c, "BM25", TOPK)
+def _feedback(c, kind, index=None):
+    index = index or c.index()
+    return Retriever(index, "BM25", 3) >> Feedback(index, kind) >> Retriever(index, "BM25", TOPK)
 
 
 @query("bo1_terms")
@@ -97,6 +98,32 @@ def q_rm3_bm25(spark, d):
     return _feedback(c, "RM3")(c.topics).select(*RUN_COLUMNS)
 
 
+# retrieval, feedback and dependence over the index that is written, reopened and read by bucket
+
+@query("stored_bm25")
+def q_stored_bm25(spark, d):
+    c = ctx(spark, d)
+    return Retriever(c.stored_index(), "BM25", TOPK)(c.topics).select(*RUN_COLUMNS)
+
+
+@query("stored_bo1")
+def q_stored_bo1(spark, d):
+    c = ctx(spark, d)
+    return _feedback(c, "Bo1", c.stored_index())(c.topics).select(*RUN_COLUMNS)
+
+
+@query("stored_rm3")
+def q_stored_rm3(spark, d):
+    c = ctx(spark, d)
+    return _feedback(c, "RM3", c.stored_index())(c.topics).select(*RUN_COLUMNS)
+
+
+@query("stored_sdm")
+def q_stored_sdm(spark, d):
+    c = ctx(spark, d)
+    return (SequentialDependence() >> Retriever(c.stored_index(), "BM25", TOPK))(c.topics).select(*RUN_COLUMNS)
+
+
 @query("spell_correct")
 def q_spell(spark, d):
     c = ctx(spark, d)
