@@ -16,8 +16,8 @@ threshold are found.
 
 Candidates are verified on the text: the words of the item's question and of
 its answer are looked up as shingles of ``SHINGLE`` words; both parts must be
-found to a share of at least ``OVERLAP``. An item without an answer column
-is split at its last sentence (question: all before, answer: the last one).
+found to a share of at least ``OVERLAP``. An item without an answer (null, or no
+such column) is one part, all of its text: no sentence of it decides alone.
 
 The index goes to the tasks in parts of at most ``PART_ITEMS`` items and
 ``PART_WORDS`` words, grouped by length: its broadcast size is bounded and any
@@ -26,7 +26,8 @@ handled row by row; nothing is shuffled.
 
 Defined cases: null and empty texts have no passage; items without a word
 match nothing; an item whose question or answer is shorter than a shingle
-needs all its words in order; repeated items are reported each; repeated rows
+needs all its words in order; an item without an id is searched like any other
+and reported with a null id; repeated items are reported each; repeated rows
 are judged each; an empty table gives an empty result.
 """
 
@@ -53,7 +54,6 @@ MIN_STRIDE = 32
 # --- end of fixed values ----------------------------------------------------------
 
 _WORD = re.compile(r"\w+")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -62,7 +62,7 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Item:
-    item_id: int
+    item_id: int | None
     question: tuple[str, ...]
     answer: tuple[str, ...]
 
@@ -71,11 +71,8 @@ class Item:
         return self.question + self.answer
 
 
-def split_item(item_id: int, text: str | None, answer: str | None = None) -> Item:
-    """An item with its answer given, or else its last sentence as the answer."""
-    if answer is None:
-        parts = [p for p in _SENTENCE.split((text or "").strip()) if words_of(p)]
-        text, answer = (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
+def split_item(item_id: int | None, text: str | None, answer: str | None = None) -> Item:
+    """An item in words; without an answer its whole text is the question."""
     return Item(item_id, tuple(words_of(text)), tuple(words_of(answer)))
 
 
@@ -190,7 +187,7 @@ def parts(items: list[Item]) -> list[list[Item]]:
     twice that of the part's shortest, beyond MIN_STRIDE."""
     out: list[list[Item]] = []
     total = shortest = 0
-    for item in sorted((i for i in items if i.words), key=lambda i: (len(i.words), i.item_id)):
+    for item in sorted((i for i in items if i.words), key=lambda i: (len(i.words), i.item_id is None, i.item_id or 0)):
         n = len(item.words)
         if (not out or len(out[-1]) >= PART_ITEMS or total + n > PART_WORDS
                 or n > 2 * max(shortest, MIN_STRIDE)):
@@ -205,7 +202,7 @@ def indexes(items: DataFrame, threshold: float = THRESHOLD) -> list[Index]:
     """Index parts of the test items (item_id, text[, answer]). Test sets are
     read to the driver item by item; the corpus never is."""
     answer = F.col("answer") if "answer" in items.columns else F.lit(None).cast("string")
-    rows = items.filter(F.col("item_id").isNotNull()).select("item_id", "text", answer.alias("answer")).toLocalIterator()
+    rows = items.select("item_id", "text", answer.alias("answer")).toLocalIterator()
     return [Index(p, threshold) for p in parts([split_item(r["item_id"], r["text"], r["answer"]) for r in rows])]
 
 
@@ -226,7 +223,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     for index in indexes(items, threshold):
         found = found.unionByName(docs.select("doc_id", finder(index)("text").alias("l")))
     # outer: else the planner adds a filter that runs the search a second time
-    return found.select("doc_id", F.inline_outer("l")).filter(F.col("item_id").isNotNull())
+    return found.select("doc_id", F.inline_outer("l")).filter(F.col("score").isNotNull())
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -96,12 +96,37 @@ def test_block_max_pivots_find_all():
 
 def test_decontamination_odd_cases(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "it was here, and then it went away again"), (None, "one"), (2, None)], "item_id long, text string")
-    assert {r.doc_id for r in decontaminate.leaks(odd_docs, items).collect()} == {1, 9}
+    # an item without an id counts as well: document 5 is its text
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(odd_docs, items).collect()}
+    assert got == {(1, 1), (9, 1), (5, None)}
+    assert 5 not in {r.doc_id for r in decontaminate.remove_leaks(odd_docs, items).collect()}
     assert decontaminate.remove_leaks(odd_docs, items).columns == odd_docs.columns
     assert decontaminate.leaks(no_docs, items).count() == 0
     assert decontaminate.leaks(odd_docs, items.limit(0)).count() == 0
 
 
+def test_a_near_copy_is_found_whichever_sentence_was_changed(spark):
+    """One word of any sentence changed, the short last one included; an answer
+    that is given must still be there."""
+    rng = random.Random(4)
+    fresh = iter(f"v{k}" for k in range(10**6))
+    items, docs = [], []
+    for i in range(40):
+        words = [next(fresh) for _ in range(rng.randint(50, 60))]
+        cut = len(words) - rng.randint(2, 6)
+        items.append((i, " ".join(words[:cut]) + ". " + " ".join(words[cut:]) + "."))
+        for k, at in enumerate((0, cut // 2, cut, len(words) - 1)):
+            copy = [*words[:at], "changed", *words[at + 1:]]
+            docs.append((i * 10 + k, " ".join([next(fresh) for _ in range(200)] + copy + [next(fresh) for _ in range(90)])))
+        docs.append((i * 10 + 9, " ".join([next(fresh) for _ in range(100)] + words[: len(words) // 2])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, asked).collect()}
+    assert got == {(d, d // 10) for d, _ in docs if d % 10 != 9}
+    other = asked.withColumn("answer", F.lit("another answer altogether"))
+    assert decontaminate.leaks(frame, other).count() == 0
+
+
 # --------------------------------------------------------------------- quality
 def test_quality_finds_hidden_negatives():
     rng = np.random.default_rng(0)
