@@ -1,9 +1,10 @@
 """Dense scoring of candidates and score interpolation.
 
 The built-in encoder is a deterministic hashed-term embedding (md5 bucket and
-sign per analysed token, L2-normalised), computed by a partial-aggregated
-groupBy — no Python. A learned encoder plugs in by producing the same
-``(id, vector array<double>)`` table, e.g. with ``mapInPandas``.
+sign per analysed token, L2-normalised), a per-row array expression: no Python
+and no shuffle. A learned encoder plugs in by producing the same
+``(id, vector array<double>)`` table, e.g. with ``mapInPandas``;
+``operators.vectors`` stores such a table.
 
 Dot products run in codegen'd higher-order functions; candidates (k per
 query, size-checked) are broadcast into the scan of the document vectors.
@@ -24,35 +25,58 @@ ALPHA_GRID = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 # --- end of fixed values ----------------------------------------------------------
 
 
+def _bound(value: Column, then) -> Column:
+    """``then`` of ``value``, which is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def hash_vector(tokens: Column, dim: int = DIM) -> Column:
+    """L2-normalised hashed vector of a token array; null where no coordinate
+    is left. Two codes a coordinate, 2i for plus and 2i + 1 for minus, are
+    sorted and counted by the first place of each."""
+    def code(t: Column) -> Column:
+        h = F.md5(t)
+        minus = F.conv(F.substring(h, 5, 1), 16, 10).cast("int") % 2
+        return F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % dim * 2 + minus
+
+    def counts(codes: Column, present: Column) -> Column:
+        places = F.transform(present, lambda c: F.array_position(codes, c))
+        return _bound(places, lambda at: F.map_from_arrays(present, F.transform(
+            at, lambda p, i: F.coalesce(F.get(at, i + 1), F.size(codes) + 1) - p)))
+
+    def coordinates(n: Column) -> Column:
+        def of(c: Column) -> Column:
+            return F.coalesce(F.element_at(n, c.cast("int")), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (of(i * 2) - of(i * 2 + 1)).cast("double"))
+
+    def unit(v: Column) -> Column:
+        return _bound(F.sqrt(dot(v, v)), lambda norm: F.when(norm > 0, F.transform(v, lambda x: x / norm)))
+
+    return _bound(F.sort_array(F.transform(tokens, code)), lambda codes: _bound(
+        F.array_distinct(codes), lambda present: _bound(counts(codes, present), lambda n: _bound(coordinates(n), unit))))
+
+
+def encode(df: DataFrame, id_col: str, text_col: str, analyzer: Analyzer,
+           dim: int = DIM, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, vector array<double>, ``keep`` columns) of the texts with a vector."""
+    return (df.select(F.col(id_col).alias("id"), *keep,
+                      hash_vector(analyzer.tokens(F.col(text_col)), dim).alias("vector"))
+            .filter(F.col("vector").isNotNull()))
+
+
 def hash_sparse(df: DataFrame, id_col: str, text_col: str, analyzer: Analyzer,
                 dim: int = DIM) -> DataFrame:
-    """(id, dim, value): non-zero coordinates of the L2-normalised hashed
-    vector of each text."""
-    toks = df.select(F.col(id_col).alias("id"),
-                     F.explode(analyzer.tokens(F.col(text_col))).alias("t"))
-    h = F.md5(F.col("t"))
-    coords = toks.select(
-        "id",
-        (F.conv(F.substring(h, 1, 4), 16, 10).cast("bigint") % dim).alias("dim"),
-        F.when(F.conv(F.substring(h, 5, 1), 16, 10).cast("int") % 2 == 0, 1.0)
-        .otherwise(-1.0).alias("s"))
-    v = coords.groupBy("id", "dim").agg(F.sum("s").alias("v")).filter(F.col("v") != 0)
-    norm = v.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return v.join(norm, "id").select("id", "dim", (F.col("v") / F.col("norm")).alias("value"))
-
-
-def densify(sparse: DataFrame, dim: int = DIM) -> DataFrame:
-    """(id, vector array<double>) from (id, dim, value)."""
-    g = sparse.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value")))
-                                 .alias("m"))
-    return g.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                      lambda i: F.coalesce(F.element_at("m", i.cast("bigint")),
-                                                           F.lit(0.0))).alias("vector"))
+    """(id, dim, value): non-zero coordinates of the hashed vector of each text."""
+    return (encode(df, id_col, text_col, analyzer, dim)
+            .select("id", F.posexplode("vector").alias("dim", "value")).filter(F.col("value") != 0))
 
 
-def encode(df: DataFrame, id_col: str, text_col: str, analyzer: Analyzer,
-           dim: int = DIM) -> DataFrame:
-    return densify(hash_sparse(df, id_col, text_col, analyzer, dim), dim)
+def encode_passages(corpus: DataFrame, run: DataFrame, analyzer: Analyzer, separator: str = "\n",
+                    dim: int = DIM) -> DataFrame:
+    """(docno, vector): the passages of the documents that the run holds."""
+    docs = corpus.join(run.select("docno").distinct(), "docno", "left_semi")
+    passages = docs.select("docno", F.explode(F.split("text", separator)).alias("passage"))
+    return encode(passages, "docno", "passage", analyzer, dim).withColumnRenamed("id", "docno")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -80,18 +104,11 @@ def dense_score(run: DataFrame, qvec: DataFrame, dvec: DataFrame,
 MIX_DECIMALS = 9
 
 
+def mixed(alpha: Column) -> Column:
+    """α·score_0 + (1-α)·score."""
+    return F.round(alpha * F.col("score_0") + (F.lit(1.0) - alpha) * F.col("score"), MIX_DECIMALS)
+
+
 def interpolate(run: DataFrame, alpha: float) -> DataFrame:
     """α·score_0 + (1-α)·score, re-ranked."""
-    out = run.withColumn("score", F.round(F.lit(alpha) * F.col("score_0")
-                                          + F.lit(1.0 - alpha) * F.col("score"), MIX_DECIMALS))
-    return rank_within(out.drop("rank"))
-
-
-def alpha_grid_runs(run: DataFrame, alphas=ALPHA_GRID) -> DataFrame:
-    """One scored run per α in a single plan: the fixed α list is exploded
-    as a column (a bounded generator, not a join); ranks per (α, qid)."""
-    g = run.select("*", F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha"))
-    g = g.withColumn("score", F.round(F.col("alpha") * F.col("score_0")
-                                      + (F.lit(1.0) - F.col("alpha")) * F.col("score"),
-                                      MIX_DECIMALS))
-    return g
+    return rank_within(run.withColumn("score", mixed(F.lit(float(alpha)))).drop("rank"))

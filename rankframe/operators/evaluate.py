@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from ..session import bounded_broadcast
 
 # Chunk length used to sum 1/log2(i+1) over long ideal rankings.
 IDEAL_CHUNK = 100_000
+# Steps of the incomplete beta behind a p-value: 1e-12 for every number of queries.
+BETA_STEPS = 120
 
 
 @dataclass(frozen=True)
@@ -57,27 +60,27 @@ def parse_metric(name: str) -> Metric:
     raise ValueError(f"unknown metric {name!r}")
 
 
-def normalize_run(run: DataFrame, order_col: str | None = None) -> DataFrame:
+def normalize_run(run: DataFrame, order_col: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Cast ids to string and score to double. With ``order_col``, duplicate
     (qid, docno) rows keep the last row (highest order value); without it
-    they are an error."""
-    run = run.select(F.col("qid").cast("string").alias("qid"),
+    they are an error. ``by``: further columns that tell runs apart."""
+    run = run.select(*by, F.col("qid").cast("string").alias("qid"),
                      F.col("docno").cast("string").alias("docno"),
                      F.col("score").cast("double").alias("score"),
                      *([F.col(order_col)] if order_col else []))
     if order_col:
-        run = run.groupBy("qid", "docno").agg(
+        run = run.groupBy(*by, "qid", "docno").agg(
             F.max_by("score", order_col).alias("score"))
     else:
-        run = _one_row(run, "score", "a run holds a (qid, docno) twice")
+        run = _one_row(run, "score", "a run holds a (qid, docno) twice", by)
     return run
 
 
-def _one_row(df: DataFrame, value: str, message: str) -> DataFrame:
+def _one_row(df: DataFrame, value: str, message: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with one row per (qid, docno); a second one fails the job."""
-    g = df.groupBy("qid", "docno").agg(F.max(value).alias(value), F.count("*").alias("_n"))
+    g = df.groupBy(*by, "qid", "docno").agg(F.max(value).alias(value), F.count("*").alias("_n"))
     kind = g.schema[value].dataType
-    return g.select("qid", "docno", F.when(F.col("_n") > 1, F.raise_error(message).cast(kind))
+    return g.select(*by, "qid", "docno", F.when(F.col("_n") > 1, F.raise_error(message).cast(kind))
                     .otherwise(F.col(value)).alias(value))
 
 
@@ -117,18 +120,21 @@ def _kname(prefix: str, k) -> str:
     return f"{prefix}_{'all' if k is None else k}"
 
 
-def per_query(run: DataFrame, qrels: DataFrame, metrics) -> DataFrame:
+def per_query(run: DataFrame, qrels: DataFrame, metrics, by: tuple[str, ...] = ()) -> DataFrame:
     """Long per-query table (qid, metric, value) for queries present in both
-    the run and the judgments."""
+    the run and the judgments. With ``by`` the frame holds several runs, told
+    apart by these columns, which come first in the result: all of them share
+    one join with the judgments and one grouping."""
     ms = [m if isinstance(m, Metric) else parse_metric(m) for m in metrics]
-    run = normalize_run(run)
+    by = tuple(by)
+    run = normalize_run(run, by=by)
     qrels = normalize_qrels(qrels)
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("docno").asc())
+    w = Window.partitionBy(*by, "qid").orderBy(F.col("score").desc(), F.col("docno").asc())
     ranked = run.withColumn("r", F.row_number().over(w))
     judged = ranked.join(qrels, ["qid", "docno"], "left").withColumn(
         "label", F.coalesce(F.col("label"), F.lit(0)))
     rels = sorted({m.rel for m in ms if m.measure in ("ap", "rr", "p", "recall")})
-    wr = (Window.partitionBy("qid").orderBy("r")
+    wr = (Window.partitionBy(*by, "qid").orderBy("r")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     for rel in rels:
         judged = judged.withColumn(
@@ -149,7 +155,7 @@ def per_query(run: DataFrame, qrels: DataFrame, metrics) -> DataFrame:
             gain = F.greatest(F.col("label"), F.lit(0)).cast("double")
             aggs[f"_m{i}"] = F.sum(F.when(in_k, gain / F.log2(r.cast("double") + 1.0))
                                  .otherwise(0.0))
-    sums = judged.groupBy("qid").agg(*[v.alias(k) for k, v in aggs.items()])
+    sums = judged.groupBy(*by, "qid").agg(*[v.alias(k) for k, v in aggs.items()])
 
     # judged-side statistics per qid: R per threshold and ideal DCG per cutoff
     qstats = qrels.groupBy("qid").agg(
@@ -174,21 +180,26 @@ def per_query(run: DataFrame, qrels: DataFrame, metrics) -> DataFrame:
             idcg = F.coalesce(F.col(_kname("idcg", m.k)), F.lit(0.0))
             v = F.when(idcg > 0, x / idcg).otherwise(0.0)
         vals.append(F.struct(F.lit(m.name).alias("metric"), v.cast("double").alias("value")))
-    return both.select("qid", F.explode(F.array(*vals)).alias("mv")).select(
-        "qid", "mv.metric", "mv.value")
+    return both.select(*by, "qid", F.explode(F.array(*vals)).alias("mv")).select(
+        *by, "qid", "mv.metric", "mv.value")
 
 
-def with_missing_zero(pq: DataFrame, qrels: DataFrame, metrics, topics=None) -> DataFrame:
+def with_missing_zero(pq: DataFrame, qrels: DataFrame, metrics, topics=None,
+                      groups: dict[str, Column] | None = None) -> DataFrame:
     """Add value 0 for judged queries (optionally restricted to ``topics``)
-    that have no result at all."""
+    that have no result at all. ``groups``: for each column that tells runs
+    apart, an array of all its values."""
+    by = list(groups or {})
     names = [m.name if isinstance(m, Metric) else m for m in metrics]
     judged = normalize_qrels(qrels).select("qid").distinct()
     if topics is not None:
         judged = judged.join(topics.select(F.col("qid").cast("string").alias("qid")),
                              "qid", "left_semi")
     grid = judged.select("qid", F.explode(F.array(*[F.lit(n) for n in names])).alias("metric"))
-    return grid.join(pq, ["qid", "metric"], "left").select(
-        "qid", "metric", F.coalesce(F.col("value"), F.lit(0.0)).alias("value"))
+    for column, values in (groups or {}).items():
+        grid = grid.withColumn(column, F.explode(values))
+    return grid.join(pq, [*by, "qid", "metric"], "left").select(
+        *by, "qid", "metric", F.coalesce(F.col("value"), F.lit(0.0)).alias("value"))
 
 
 def evaluate_run(run: DataFrame, qrels: DataFrame, metrics, missing: str = "drop",
@@ -205,50 +216,57 @@ def evaluate_run(run: DataFrame, qrels: DataFrame, metrics, missing: str = "drop
 def experiment(runs: dict[str, DataFrame], qrels: DataFrame, metrics,
                topics: DataFrame | None = None, missing: str = "zero",
                per_query_out: bool = False) -> DataFrame:
-    """All systems in one job: union of runs tagged by ``system``.
-    Returns long (system, metric, value) means, or per-query rows."""
-    parts = []
-    for name, run in runs.items():
-        pq = per_query(run, qrels, metrics)
-        if missing == "zero":
-            pq = with_missing_zero(pq, qrels, metrics, topics)
-        parts.append(pq.withColumn("system", F.lit(name)))
-    allpq = parts[0]
-    for p in parts[1:]:
-        allpq = allpq.unionByName(p)
+    """All systems in one job: the runs, told apart by ``system``, share one
+    join with the judgments and one grouping. Returns long (system, metric,
+    value) means, or per-query rows."""
+    tagged = reduce(DataFrame.unionByName, [
+        run.select("qid", "docno", F.col("score").cast("double").alias("score"), F.lit(name).alias("system"))
+        for name, run in runs.items()])
+    pq = per_query(tagged, qrels, metrics, ("system",))
+    if missing == "zero":
+        pq = with_missing_zero(pq, qrels, metrics, topics, {"system": F.array(*[F.lit(name) for name in runs])})
     if per_query_out:
-        return allpq.select("system", "qid", "metric", "value")
-    return allpq.groupBy("system", "metric").agg(F.avg("value").alias("value"))
+        return pq.select("system", "qid", "metric", "value")
+    return pq.groupBy("system", "metric").agg(F.avg("value").alias("value"))
 
 
 # --- significance ---------------------------------------------------------------
 
+def _gamma_ratio(z: Column) -> Column:
+    """gamma(z + 1/2) / gamma(z): the series in 1/z, at z moved up by 16."""
+    far, ratio = z + 16, F.lit(1.0)
+    for i in range(16):
+        ratio = ratio * (z + i) / (z + (i + 0.5))
+    inverse = 1.0 / far
+    series = F.lit(0.0)
+    for c in (869 / 4194304, -399 / 262144, -21 / 32768, 5 / 1024, 1 / 128, -1 / 8, 1.0):
+        series = series * inverse + c
+    return ratio * F.sqrt(far) * series
+
+
 def student_t_two_sided_p(t: Column, nu: Column) -> Column:
-    """Two-sided p-value of Student's t with integer ν by the finite series
-    26.7.3 / 26.7.4 of Abramowitz & Stegun."""
-    theta = F.atan(F.abs(t) / F.sqrt(nu.cast("double")))
-    c2 = F.cos(theta) * F.cos(theta)
-    empty = F.array().cast("array<int>")
-
-    def series(n_terms: Column, ratio):
-        seq = F.when(n_terms >= 1, F.sequence(F.lit(1), n_terms.cast("int"))).otherwise(empty)
-        acc0 = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-        return F.aggregate(
-            seq, acc0,
-            lambda acc, j: F.struct(
-                (acc["term"] * ratio(j) * c2).alias("term"),
-                (acc["total"] + acc["term"] * ratio(j) * c2).alias("total")),
-            lambda acc: acc["total"])
-
-    odd_sum = series(F.floor((nu - 3) / 2),
-                     lambda j: (2.0 * j) / (2.0 * j + 1.0))
-    even_sum = series(F.floor((nu - 2) / 2),
-                      lambda j: (2.0 * j - 1.0) / (2.0 * j))
-    a_odd = F.when(nu == 1, 2.0 * theta / math.pi).otherwise(
-        2.0 / math.pi * (theta + F.sin(theta) * F.cos(theta) * odd_sum))
-    a_even = F.sin(theta) * even_sum
-    a = F.when(nu % 2 == 1, a_odd).otherwise(a_even)
-    return F.lit(1.0) - a
+    """Two-sided p-value of Student's t with ν degrees of freedom: with
+    x = ν / (ν + t²) the regularised incomplete beta I_x(ν/2, 1/2), in
+    ``BETA_STEPS`` steps whatever ν is. Far from 0 by the even part of the
+    continued fraction, from its last term; near 0 (t² < 3) as one minus the
+    power series of I_1-x(1/2, ν/2), whose terms are all positive."""
+    nu, t2 = nu.cast("double"), (t * t).cast("double")
+    a, y, x = nu / 2, t2 / (nu + t2), nu / (nu + t2)
+    front = F.exp(-a * F.log1p(t2 / nu)) * F.sqrt(y) * _gamma_ratio(a) / math.sqrt(math.pi)
+    downwards = F.sequence(F.lit(BETA_STEPS), F.lit(1), F.lit(-1))
+
+    def below(n: Column) -> Column:
+        # with two degrees of freedom the first term (n = 0) is 0 / 0, and 0
+        return (n + F.coalesce(F.try_divide(n * (0.5 - n) * x, a + 2 * n - 1), F.lit(0.0))
+                + (a + n) * (a * y - 0.5 * x + 1 + n * (2 - x)) / (a + 2 * n + 1))
+
+    def above(n: Column) -> Column:
+        return (a + n - 1) * (a + n - 0.5) * n * (0.5 - n) * x * x / ((a + 2 * n - 1) * (a + 2 * n - 1))
+
+    fraction = F.aggregate(downwards, below(F.lit(BETA_STEPS + 1.0)),
+                           lambda acc, n: below(n - F.lit(1.0)) + above(n.cast("double")) / acc)
+    series = F.aggregate(downwards, F.lit(1.0), lambda acc, n: 1.0 + acc * y * (a + n - 0.5) / (n + 0.5))
+    return F.when(t2 < 3, 1.0 - 2.0 * front * series).otherwise(front / fraction)
 
 
 def paired_ttest(per_query_values: DataFrame, baseline: str) -> DataFrame:

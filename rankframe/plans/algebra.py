@@ -21,10 +21,14 @@ built once, and retrievers of one index that score the same run (as in
 ``a ** (a >> b) ** (a >> c)``) share one pass over the postings. A cutoff
 moves into the retriever below it, through ``>>`` and through scaling by a
 positive weight.
+
+``parameters()`` names what can be tuned in a tree, as ``stage__parameter``;
+``with_parameters`` gives a tree with other values (see ``plans.tuning``).
 """
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import os
 import uuid
@@ -33,9 +37,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import rewrite
+from ..operators import dense, rewrite
 from ..operators.index import Index
 from ..operators.retrieve import query_terms, rank_within, rescore_models, retrieve, score_matches
+from ..operators.vectors import VectorStore
 from ..session import ensure_checkpoint_dir
 from ..sinks import child_folders, path_exists
 
@@ -49,6 +54,8 @@ def carried(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 class Stage:
+    tunable: tuple[str, ...] = ()   # attributes that can be set by name
+
     def __init__(self, fn=None, name: str = "stage", key: str | None = None):
         """``key`` names everything that changes the result. Without one a
         stage equals only itself: its cache is never taken for another's."""
@@ -106,6 +113,19 @@ class Stage:
     def fingerprint(self) -> str:
         return hashlib.md5(self.key.encode()).hexdigest()
 
+    def parameters(self) -> dict:
+        return {f"{self.name}__{p}": getattr(self, p) for p in self.tunable}
+
+    def with_parameters(self, values: dict) -> "Stage":
+        """This stage with other values; names it doesn't know are an error."""
+        unknown = set(values) - set(self.parameters())
+        if unknown:
+            raise KeyError(f"no parameter {sorted(unknown)} in {self.name}")
+        out = copy.copy(self)
+        for name, value in values.items():
+            setattr(out, name.rsplit("__", 1)[1], value)
+        return out
+
 
 class _Node(Stage):
     """A stage made of others; ``mark`` and the parts tell it apart."""
@@ -117,6 +137,17 @@ class _Node(Stage):
     def _joined(self, names) -> str:
         return "(" + f" {self.mark} ".join(names) + ")"
 
+    def parameters(self) -> dict:
+        return {name: value for p in self.parts for name, value in p.parameters().items()}
+
+    def with_parameters(self, values: dict) -> Stage:
+        unknown = set(values) - set(self.parameters())
+        if unknown:
+            raise KeyError(f"no parameter {sorted(unknown)} in {self.name}")
+        out = copy.copy(self)
+        out.parts = [p.with_parameters({n: v for n, v in values.items() if n in p.parameters()}) for p in self.parts]
+        return out
+
     @property
     def key(self) -> str:
         return self._joined(p.key for p in self.parts)
@@ -176,6 +207,8 @@ class Retriever(Stage):
     (after a feedback stage) are searched by those weighted terms, topics with
     ``dependence`` by single terms and pairs. A cutoff lowers k itself."""
 
+    tunable = ("k",)
+
     def __init__(self, index: Index, model: str = "BM25", k: int = 1000, source: str = ""):
         self.index, self.model, self.k, self.source = index, model, k, source
         self.name = model
@@ -241,6 +274,66 @@ class SequentialDependence(Stage):
         return df.withColumn("dependence", F.lit(True))
 
 
+class DenseScore(Stage):
+    """A run with its queries → the same candidates scored by vectors, the old
+    score in ``score_0``. ``vectors``: (docno, vector) or a ``VectorStore``;
+    ``encode``: topics (qid, query) → (id, vector); ``encoder`` names it. A
+    cutoff over a store reads the codes of all candidates and whole vectors of
+    the best alone."""
+
+    def __init__(self, vectors, encode, encoder: str = "", k: int | None = None):
+        self.vectors, self.encode, self.k = vectors, encode, k
+        self.encoder = encoder or f"encoder#{uuid.uuid4().hex}"
+        self.name = "dense"
+
+    @property
+    def key(self) -> str:
+        return f"dense@{self.k}|{self.encoder}|{id(self.vectors)}"
+
+    @property
+    def local(self) -> str:
+        return self.key
+
+    def cut(self, k: int) -> Stage:
+        return DenseScore(self.vectors, self.encode, self.encoder, min(k, self.k or k))
+
+    def _apply(self, df: DataFrame, built: dict) -> DataFrame:
+        kept, on = carried(df)
+        queries = self.encode(df.select("qid", "query").distinct())
+        if not isinstance(self.vectors, VectorStore):
+            scored = dense.dense_score(df, queries, self.vectors)
+            scored = rank_within(scored.drop("rank"), self.k) if self.k else scored
+        elif self.k:
+            scored = self.vectors.best(df.select("qid", "docno", "score"), queries, self.k)
+        else:
+            scored = self.vectors.scores(df, queries)
+        return scored.join(kept, on)
+
+
+class Interpolate(Stage):
+    """alpha * score_0 + (1 - alpha) * score."""
+
+    tunable = ("alpha",)
+
+    def __init__(self, alpha: float = 0.5):
+        self.alpha, self.name = float(alpha), "interpolate"
+
+    @property
+    def key(self) -> str:
+        return f"interpolate@{self.alpha}"
+
+    local = key
+
+    def _apply(self, df: DataFrame, built: dict) -> DataFrame:
+        return dense.interpolate(df, self.alpha)
+
+    def sweep(self, df: DataFrame, setting) -> DataFrame:
+        """Scores for every setting in one plan: ``setting`` is an array of
+        structs with this stage's parameters, one of which each row gets."""
+        rows = df.select("qid", "docno", "score_0", "score", F.explode(setting).alias("setting"))
+        return rows.select("qid", "docno", "setting", dense.mixed(F.col(f"setting.{self.name}__alpha")).alias("score"))
+
+
 class SumStage(_Node):
     def __init__(self, parts: list[Stage]):
         super().__init__(parts, "+")

@@ -414,15 +414,23 @@ def hsparse(src, idc, textc, name):
 
 ORACLE["hash_encode"] = "WITH " + TOPICS + "," + hsparse("topics", "qid", "query", "qv") + \
     " SELECT id AS qid, CAST(dim AS BIGINT) AS dim, round(value, 6) AS value FROM qv"
-DENSE = BASE + add_run("BM25", 100, "cand") + "," + hsparse("topics", "qid", "query", "qv") + "," + \
-    hsparse("docs", "docno", "text", "dv") + """,
+
+
+def dense_ctes(depth):
+    return BASE + add_run("BM25", depth, "cand") + "," + hsparse("topics", "qid", "query", "qv") + "," + \
+        hsparse("docs", "docno", "text", "dv") + """,
 dots AS (SELECT c.qid, c.docno, SUM(q.value * d.value) AS s FROM cand c JOIN qv q ON q.id = c.qid
          JOIN dv d ON d.id = c.docno AND d.dim = q.dim GROUP BY c.qid, c.docno),
 dn0 AS (SELECT c.qid, c.docno, c.score AS score_0, round(COALESCE(x.s, 0.0), 6) + 0.0 AS score FROM cand c
         LEFT JOIN dots x ON x.qid = c.qid AND x.docno = c.docno),
 dn AS (SELECT qid, docno, score_0, score,
               CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno ASC) - 1 AS BIGINT) AS rank FROM dn0)"""
+
+
+DENSE = dense_ctes(100)
 ORACLE["dense_rerank"] = DENSE + " SELECT qid, docno, score_0, score, rank FROM dn"
+ORACLE["dense_reopen"] = ORACLE["dense_rerank"]
+ORACLE["dense_best"] = DENSE + " SELECT qid, docno, score_0, score, rank FROM dn WHERE rank < 10"
 ORACLE["dense_maxp"] = BASE + add_run("BM25", 100, "cand") + "," + hsparse("topics", "qid", "query", "qv") + """,
 psg AS (SELECT docno || '#' || CAST(i - 1 AS VARCHAR) AS pid, docno, ptext
         FROM (SELECT docno, unnest(string_split(text, chr(10))) AS ptext, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs)),""" + \
@@ -434,11 +442,11 @@ pdots AS (SELECT c.qid, pd.pid, pd.docno, COALESCE(SUM(q.value * v.value), 0.0)
 mx AS (SELECT qid, docno, MAX(s) AS s FROM pdots GROUP BY qid, docno),
 m0 AS (SELECT c.qid, c.docno, c.score AS score_0, round(COALESCE(x.s, 0.0), 6) + 0.0 AS score FROM cand c LEFT JOIN mx x ON x.qid = c.qid AND x.docno = c.docno)
 SELECT qid, docno, score_0, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno ASC) - 1 AS BIGINT) AS rank FROM m0"""
-INTERP = DENSE + """,
+INTERP = """,
 ip AS (SELECT qid, docno, score_0, round(CAST(0.3 AS DOUBLE) * score_0 + CAST(0.7 AS DOUBLE) * score, 9) AS score FROM dn),
 ipr AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno ASC) - 1 AS BIGINT) AS rank FROM ip)"""
-ORACLE["interpolate"] = INTERP + " SELECT qid, docno, score_0, score, rank FROM ipr"
-ORACLE["hybrid_rank"] = INTERP + " SELECT qid, docno, score_0, score, rank FROM ipr WHERE rank < 10"
+ORACLE["interpolate"] = DENSE + INTERP + " SELECT qid, docno, score_0, score, rank FROM ipr"
+ORACLE["hybrid_rank"] = dense_ctes(1000) + INTERP + " SELECT qid, docno, score_0, score, rank FROM ipr WHERE rank < 10"
 ORACLE["grid_search_alpha"] = DENSE + ",\n" + QRELS + """,
 al AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS alpha),
 dev AS (SELECT qid FROM (SELECT CAST(item_id AS VARCHAR) AS qid,
@@ -451,6 +459,22 @@ gq AS (SELECT CAST(a.alpha AS VARCHAR) || '|' || q.qid AS qid, q.docno, q.label
 gm AS (SELECT CAST(split_part(qid, '|', 1) AS DOUBLE) AS alpha, AVG(value) AS map FROM gp GROUP BY 1)
 SELECT alpha, round(map, 6) AS map, row_number() OVER (ORDER BY map DESC, alpha ASC) = 1 AS best FROM gm"""
 
+ORACLE["grid_search"] = DENSE + ",\n" + QRELS + """,
+st AS (SELECT k, alpha, CAST(k AS VARCHAR) || '|' || CAST(alpha AS VARCHAR) AS name
+       FROM (SELECT unnest([5, 100]::BIGINT[]) AS k) CROSS JOIN (SELECT unnest([0.1, 0.5, 0.9]::DOUBLE[]) AS alpha)),
+dev AS (SELECT qid FROM (SELECT CAST(item_id AS VARCHAR) AS qid,
+        CAST(('0x' || substr(md5(CAST(item_id AS VARCHAR)), 1, 4)) AS BIGINT) % 10 AS bucket FROM benchmark) WHERE bucket IN (6, 7)),
+cr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score_0 DESC, docno ASC) AS place FROM dn WHERE qid IN (SELECT qid FROM dev)),
+gr AS (SELECT s.name || '|' || d.qid AS qid, d.docno,
+              round(s.alpha * d.score_0 + (CAST(1.0 AS DOUBLE) - s.alpha) * d.score, 9) AS score
+       FROM cr d JOIN st s ON d.place <= s.k),
+gq AS (SELECT s.name || '|' || q.qid AS qid, q.docno, q.label FROM qrels q CROSS JOIN st s WHERE q.qid IN (SELECT qid FROM dev)),""" + \
+    per_query_ctes(["map"], run="gr", qrels="gq", name="gp") + """,
+gm AS (SELECT s.k, s.alpha, AVG(COALESCE(g.value, CAST(0.0 AS DOUBLE))) AS map
+       FROM st s JOIN (SELECT DISTINCT qid FROM qrels WHERE qid IN (SELECT qid FROM dev)) j ON TRUE
+       LEFT JOIN gp g ON g.qid = s.name || '|' || j.qid GROUP BY s.k, s.alpha)
+SELECT k, alpha, round(map, 6) AS map, row_number() OVER (ORDER BY round(map, 9) DESC, k ASC, alpha ASC) = 1 AS best FROM gm"""
+
 # ------------------------------------------------------------------- LTR --
 JAC = lambda a, b: f"CASE WHEN len(list_distinct({a})) + len(list_distinct({b})) - len(list_intersect(list_distinct({a}), list_distinct({b}))) = 0 THEN 0.0 ELSE CAST(len(list_intersect(list_distinct({a}), list_distinct({b}))) AS DOUBLE) / (len(list_distinct({a})) + len(list_distinct({b})) - len(list_intersect(list_distinct({a}), list_distinct({b})))) END"
 QT_SET = TOK.format(x="t.query")

@@ -14,11 +14,13 @@ from ..operators import evaluate as ev
 from ..operators import lambdamart, ltr
 from ..operators import retrieve as rt
 from ..operators import rewrite as rw
+from ..operators.vectors import VectorStore
 from ..session import ensure_checkpoint_dir
 from ..sources import collection as col
-from .algebra import Feedback, Retriever, SequentialDependence, Stage, cached
+from .algebra import DenseScore, Feedback, Interpolate, Retriever, SequentialDependence, Stage, cached
 from .context import ctx
 from .registry import DISPLAY_METRICS, EVAL_DEPTH, TOPK, _eval_run, _run, query, r6
+from .tuning import grid_search
 
 RUN_COLUMNS = ["qid", "docno", "score", "rank"]
 SYSTEMS = ["BM25", "TF_IDF", "DirichletLM"]
@@ -317,17 +319,35 @@ def q_trec(spark, d):
 
 # ----------------------------------------------------------------- dense --
 
+ENCODER = "hashed terms"
+HYBRID_DEPTH = 1000   # candidates of the hybrid ranking
+
+
+def _encode_topics(c):
+    analyzer = c.index().analyzer
+    return lambda topics: dn.encode(topics, "qid", "query", analyzer)
+
+
 def _vectors(c):
+    """(id, vector) of the topics and (docno, vector) of the documents."""
     def build():
-        idx = c.index()
-        q = dn.encode(c.topics, "qid", "query", idx.analyzer).persist()
-        dvec = dn.encode(c.corpus, "docno", "text", idx.analyzer).persist()
-        return q, dvec
+        docs = dn.encode(c.corpus, "docno", "text", c.index().analyzer).withColumnRenamed("id", "docno")
+        return _encode_topics(c)(c.topics).persist(), docs.persist()
     if "_vec" not in c._memo:
         c._memo["_vec"] = build()
     return c._memo["_vec"]
 
 
+def _store(c):
+    """The document vectors, written once and reopened."""
+    def build():
+        path = os.path.join(ensure_checkpoint_dir(c.spark), f"vectors-{uuid.uuid4().hex}")
+        return VectorStore.open_or_encode(c.spark, path, lambda: _vectors(c)[1], ENCODER)
+    if "_store" not in c._memo:
+        c._memo["_store"] = build()
+    return c._memo["_store"]
+
+
 @query("hash_encode")
 def q_hash_encode(spark, d):
     c = ctx(spark, d)
@@ -338,9 +358,7 @@ def q_hash_encode(spark, d):
 
 def _dense_run(c, k=100):
     q, dvec = _vectors(c)
-    return c.memo(f"dense_{k}", lambda: dn.dense_score(_run(c, "BM25", k), q,
-                                                        dvec.withColumnRenamed("id", "docno"))
-                  .persist())
+    return c.memo(f"dense_{k}", lambda: dn.dense_score(_run(c, "BM25", k), q, dvec).persist())
 
 
 @query("dense_rerank")
@@ -348,16 +366,25 @@ def q_dense(spark, d):
     return _dense_run(ctx(spark, d))
 
 
+@query("dense_reopen")
+def q_dense_reopen(spark, d):
+    """The same re-ranking by stored vectors, of the candidates' buckets alone."""
+    c = ctx(spark, d)
+    return _store(c).scores(_run(c, "BM25", 100), _vectors(c)[0])
+
+
+@query("dense_best")
+def q_dense_best(spark, d):
+    """The 10 best of 100 candidates: codes first, whole vectors of those that can win."""
+    c = ctx(spark, d)
+    return _store(c).best(_run(c, "BM25", 100), _vectors(c)[0], TOPK)
+
+
 @query("dense_maxp")
 def q_maxp(spark, d):
     c = ctx(spark, d)
-    q, _ = _vectors(c)
-    passages = c.corpus.select("docno", F.posexplode(F.split("text", "\n")).alias("p", "ptext"))
-    passages = passages.select(F.concat("docno", F.lit("#"), F.col("p").cast("string")).alias("pid"),
-                               "docno", "ptext")
-    pv = dn.encode(passages, "pid", "ptext", c.index().analyzer)
-    pv = pv.join(passages.select(F.col("pid").alias("id"), "docno"), "id")
-    return dn.dense_score(_run(c, "BM25", 100), q, pv)
+    run = _run(c, "BM25", 100)
+    return dn.dense_score(run, _vectors(c)[0], dn.encode_passages(c.corpus, run, c.index().analyzer))
 
 
 @query("interpolate")
@@ -365,33 +392,34 @@ def q_interpolate(spark, d):
     return dn.interpolate(_dense_run(ctx(spark, d)), 0.3)
 
 
-def _grid(c):
-    runs = dn.alpha_grid_runs(_dense_run(c))
+def _hybrid(c, k=100):
+    return Retriever(c.index(), "BM25", k) >> DenseScore(_vectors(c)[1], _encode_topics(c), ENCODER) >> Interpolate()
+
+
+def _dev(c):
     dev = col.topic_split(c.topics).filter(F.col("split") == "dev").select("qid")
-    runs = runs.join(F.broadcast(dev), "qid", "left_semi")
-    keyed = runs.select(F.concat_ws("|", F.col("alpha").cast("string"), "qid").alias("qid"),
-                        "docno", "score")
-    qr = c.qrels.select("*", F.explode(F.array(*[F.lit(float(a)) for a in dn.ALPHA_GRID]))
-                        .alias("alpha"))
-    qr = qr.select(F.concat_ws("|", F.col("alpha").cast("string"), "qid").alias("qid"),
-                   "docno", "label")
-    pq = ev.per_query(keyed, qr, ["map"])
-    return (pq.select(F.split("qid", r"\|")[0].cast("double").alias("alpha"), "value")
-            .groupBy("alpha").agg(F.avg("value").alias("map")))
+    return c.topics.join(dev, "qid", "left_semi")
 
 
 @query("grid_search_alpha")
 def q_grid(spark, d):
-    from pyspark.sql import Window
-    g = _grid(ctx(spark, d))
-    w = Window.orderBy(F.col("map").desc(), F.col("alpha").asc())
-    return g.select("alpha", r6(F.col("map")).alias("map"),
-                    (F.row_number().over(w) == 1).alias("best"))
+    c = ctx(spark, d)
+    found = grid_search(_hybrid(c), {"interpolate__alpha": dn.ALPHA_GRID}, _dev(c), c.qrels, missing="drop")
+    return found.table.select(F.col("interpolate__alpha").alias("alpha"), r6(F.col("value")).alias("map"), "best")
+
+
+@query("grid_search")
+def q_grid_two(spark, d):
+    """Candidates and alpha together, judged topics without results at 0."""
+    c = ctx(spark, d)
+    found = grid_search(_hybrid(c), {"BM25__k": [5, 100], "interpolate__alpha": [0.1, 0.5, 0.9]}, _dev(c), c.qrels)
+    return found.table.select(F.col("BM25__k").cast("bigint").alias("k"), F.col("interpolate__alpha").alias("alpha"),
+                              r6(F.col("value")).alias("map"), "best")
 
 
 @query("hybrid_rank")
 def q_hybrid(spark, d):
-    return rt.rank_within(dn.interpolate(_dense_run(ctx(spark, d)), 0.3).drop("rank"), TOPK)
+    return rt.rank_within(dn.interpolate(_dense_run(ctx(spark, d), HYBRID_DEPTH), 0.3).drop("rank"), TOPK)
 
 
 # ------------------------------------------------------------------- LTR --
