@@ -53,6 +53,7 @@ class VectorStore:
     table: DataFrame
     buckets: int
     encoder: str
+    build: str      # names the contents: a build never changes
 
     @staticmethod
     def write(vectors: DataFrame, path: str, encoder: str = "", buckets: int = BUCKETS,
@@ -83,7 +84,7 @@ class VectorStore:
         if encoder is not None and encoder != commit["encoder"]:
             raise ValueError(f"{path} holds vectors of {commit['encoder']!r}, not {encoder!r}")
         table = spark.read.schema(VECTOR_SCHEMA).parquet(os.path.join(path, "builds", commit["build"]))
-        return VectorStore(table, commit["buckets"], commit["encoder"])
+        return VectorStore(table, commit["buckets"], commit["encoder"], commit["build"])
 
     @staticmethod
     def open_or_encode(spark: SparkSession, path: str, vectors, encoder: str = "", buckets: int = BUCKETS,

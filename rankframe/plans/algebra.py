@@ -284,18 +284,22 @@ class DenseScore(Stage):
     def __init__(self, vectors, encode, encoder: str = "", k: int | None = None):
         self.vectors, self.encode, self.k = vectors, encode, k
         self.encoder = encoder or f"encoder#{uuid.uuid4().hex}"
+        # a plain table can't be told by name: its stage equals only itself
+        self.source = vectors.build if isinstance(vectors, VectorStore) else uuid.uuid4().hex
         self.name = "dense"
 
     @property
     def key(self) -> str:
-        return f"dense@{self.k}|{self.encoder}|{id(self.vectors)}"
+        return f"dense@{self.k}|{self.encoder}|{self.source}"
 
     @property
     def local(self) -> str:
         return self.key
 
     def cut(self, k: int) -> Stage:
-        return DenseScore(self.vectors, self.encode, self.encoder, min(k, self.k or k))
+        out = copy.copy(self)
+        out.k = min(k, self.k or k)
+        return out
 
     def _apply(self, df: DataFrame, built: dict) -> DataFrame:
         kept, on = carried(df)

@@ -137,6 +137,10 @@ def test_dense_stages_keep_queries_and_read_a_store(spark, searched, tmp_path):
     head = Retriever(index, "BM25", 30) >> DenseScore(vectors, encode, "hashed")
     cut = Retriever(index, "BM25", 30) >> DenseScore(VectorStore.load(spark, path), encode, "hashed")
     assert rows_of((cut % 4)(topics)) == rows_of(head(topics).filter("rank < 4"))
+    # equal stores are equal stages, plain tables only themselves; another encoder or build is another stage
+    again = DenseScore(VectorStore.load(spark, path), encode, "hashed")
+    assert again.key == cut.parts[1].key != DenseScore(VectorStore.load(spark, path), encode, "other").key
+    assert DenseScore(vectors, encode, "hashed").key != head.parts[1].key
     # a retriever can follow
     assert (head >> Retriever(index, "TF_IDF", 5))(topics).count() == 15
 
