@@ -304,9 +304,10 @@ def improvement_pct(value: Column, base: Column) -> Column:
 
 def best_method(metrics_long: DataFrame, system_order: list[str]) -> DataFrame:
     """Per metric the system with the highest value; ties → the earlier system
-    in ``system_order``."""
+    in ``system_order``. Means equal to 9 places are ties: their last places
+    hang on the order of summation."""
     order = F.array_position(F.array(*[F.lit(s) for s in system_order]), F.col("system"))
-    w = Window.partitionBy("metric").orderBy(F.col("value").desc(), order.asc())
+    w = Window.partitionBy("metric").orderBy(F.round("value", 9).desc(), order.asc())
     return (metrics_long.withColumn("_rn", F.row_number().over(w))
             .filter("_rn = 1").select("metric", F.col("system").alias("best_system"),
                                       "value"))
