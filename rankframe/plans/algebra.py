@@ -343,10 +343,12 @@ class SumStage(_Node):
         super().__init__(parts, "+")
 
     def _apply(self, df: DataFrame, built: dict) -> DataFrame:
-        kept, on = carried(df)
         runs = [p.build(df, built).select("qid", "docno", F.col("score").cast("double").alias("score"))
                 for p in self.parts]
         s = reduce(DataFrame.unionByName, runs).groupBy("qid", "docno").agg(F.round(F.sum("score"), 6).alias("score"))
+        if df is None:  # stages that bring their own rows: nothing to hand through
+            return rank_within(s)
+        kept, on = carried(df)
         return rank_within(s).join(kept, on)
 
 
