@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dense, rewrite
 from ..operators.index import Index
-from ..operators.retrieve import query_terms, rank_within, rescore_models, retrieve, score_matches
+from ..operators.retrieve import best_matches, query_terms, rank_within, rescore_models, retrieve
 from ..operators.vectors import VectorStore
 from ..session import ensure_checkpoint_dir
 from ..sinks import child_folders, path_exists
@@ -234,9 +234,9 @@ class Retriever(Stage):
             return retrieve(self.index, model=self.model, k=self.k, qterms=terms).join(kept.drop("query_terms"), on)
         if "dependence" in df.columns:
             postings, lexicon, q = rewrite.sdm_query(self.index, kept)
-            s = score_matches(self.index, q, (self.model,), postings, lexicon)
+            s = best_matches(self.index, q, (self.model,), self.k, postings, lexicon)
             s = s.select("qid", "docno", F.round(F.col(self.model), 6).alias("score"))
-            return rank_within(s, self.k).join(kept.drop("dependence"), on)
+            return rank_within(s, self.k).persist().join(kept.drop("dependence"), on)
         return retrieve(self.index, df, self.model, self.k).join(kept, on)
 
 
