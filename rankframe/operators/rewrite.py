@@ -163,8 +163,8 @@ def bo1_terms(index: Index, run: DataFrame, qterms: DataFrame,
     qtf/max qtf + w/max w over the original terms ∪ the fb_terms best terms."""
     N = float(index.stats["num_docs"])
     bags = _feedback_bags(index, run, fb_docs)
-    tfx = bags.groupBy("qid", "term").agg(F.sum("tf").cast("double").alias("tfx"))
-    tfx = tfx.join(index.lexicon.select("term", "cf"), "term")
+    tfx = bags.groupBy("qid", "term").agg(F.sum("tf").cast("double").alias("tfx")).persist()
+    tfx = tfx.join(index.read("lexicon", tfx).select("term", "cf"), "term")
     P = F.col("cf").cast("double") / F.lit(N)
     w = F.col("tfx") * F.log2((F.lit(1.0) + P) / P) + F.log2(F.lit(1.0) + P)
     ranked = tfx.withColumn("w", w).withColumn(
