@@ -25,6 +25,11 @@ block. The highest count per A id has at most as many rows as the vocabulary
 has ids and is broadcast. The blocks are written to the shared folder, so no
 text is encoded twice and a lost executor repeats only its open blocks.
 
+What a task holds is bounded by a block: texts are encoded in parts of
+``PART_CHARS``, a part's ids become arrays at once, kept words have a bound in
+number and in size, and the answers meet their blocks one block at a time. Row
+groups of the written blocks are cut by ``ROW_GROUP_BYTES``.
+
 Defined cases: a null or empty text, or one whose tokens' joined bytes differ
 from a space and the text (a normaliser changed it), has no tokens: zeros and
 an empty hash, and it counts for no pair; repeated rows count each; a null
@@ -44,6 +49,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +62,10 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 A_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_CHARS = 2_000_000
 CROSS = 1_000_000      # pairs of large groups written out at once
-CACHED_WORDS = 500_000  # words whose ids a task keeps
+CACHED_WORDS, CACHED_CHARS = 200_000, 4_000_000  # words whose ids a task keeps, and their size
+PART_CHARS = 200_000    # encoded at once
+ROWS = 256              # texts taken out of a batch at once
+ROW_GROUP_BYTES = 16_000_000  # of the written blocks
 # --- end of fixed values ----------------------------------------------------------
 
 _WORD = re.compile(" +[^ ]*")
@@ -108,8 +117,10 @@ class Tokenizers:
         self.b_sizes = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
         # no piece goes on behind a word's end, so each run of spaces with its word is cut by itself
         self._split = all("▁" not in self._b.id_to_piece(k).lstrip("▁") for k in range(self._b.get_piece_size()))
-        self._space = {" ": [self._b.piece_to_id("▁")]}
-        self._words: dict[str, list[int] | None] = dict(self._space)
+        self._space = {" ": (self._b.piece_to_id("▁"),)}
+        self._words: dict[str, tuple[int, ...] | None] = dict(self._space)
+        self._chars = 0
+        self._id = list(range(len(self.b_bytes)))  # one object an id, for all kept words
 
     def _b_ids(self, texts: list[str]) -> list[list[int] | None]:
         """B's ids of whole texts; None where its normaliser changes the bytes."""
@@ -120,10 +131,12 @@ class Tokenizers:
     def _by_words(self, texts: list[str]) -> list[list[int] | None]:
         """The same, each new word encoded once."""
         cut = [_WORD.findall(" " + t) for t in texts]
-        if len(self._words) > CACHED_WORDS:
-            self._words = dict(self._space)
-        new = list(set(chain.from_iterable(cut)) - self._words.keys())
-        self._words.update(zip(new, self._b_ids([w[1:] for w in new]), strict=True))  # the model adds the space itself
+        if len(self._words) > CACHED_WORDS or self._chars > CACHED_CHARS:
+            self._words, self._chars = dict(self._space), 0
+        new = [w for w in set(chain.from_iterable(cut)) if w not in self._words]
+        self._chars += sum(map(len, new))
+        for w, ids in zip(new, self._b_ids([w[1:] for w in new]), strict=True):  # the model adds the space itself
+            self._words[w] = None if ids is None else tuple(map(self._id.__getitem__, ids))
         get, out = self._words.__getitem__, []
         for t, words in zip(texts, cut, strict=True):
             parts = list(map(get, words))
@@ -142,6 +155,25 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
+def _parts(texts: list[str]) -> Iterator[list[str]]:
+    """The texts, in order, about ``PART_CHARS`` at a time."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > PART_CHARS:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
+def _joined(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids one after the other, and how many each text has."""
+    n = np.array([len(x) for x in ids], dtype=np.int64)
+    return np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(n.sum())), n
+
+
 def merge(a_ends: np.ndarray, a_starts: np.ndarray, b_ends: np.ndarray, b_starts: np.ndarray):
     """The lockstep merge. Tokens of all documents stand one after the other
     with the byte at which they end; ``starts`` are the documents' first tokens
@@ -173,25 +205,25 @@ class Batch:
     """Some texts, encoded and aligned."""
 
     def __init__(self, texts: list[str], tokenizers: Tokenizers):
-        a, b = tokenizers.encode(texts)
-        self.n_a = np.array([len(x) for x in a], dtype=np.int64)
-        self.n_b = np.array([len(x) for x in b], dtype=np.int64)
-        self.a = np.fromiter(chain.from_iterable(a), dtype=np.int64, count=int(self.n_a.sum()))
-        self.b = np.fromiter(chain.from_iterable(b), dtype=np.int64, count=int(self.n_b.sum()))
+        encoded = [[_joined(x) for x in tokenizers.encode(part)] for part in _parts(texts)]
+        (self.a, self.n_a), (self.b, self.n_b) = [
+            tuple(np.concatenate([none, *x]) for none, x in zip(_joined([]), zip(*side))) for side in zip(*encoded)
+        ] or (_joined([]), _joined([]))
         self.a_starts, self.b_starts = _starts(self.n_a), _starts(self.n_b)
         at_a, at_b, cut = merge(self._ends(tokenizers.a_sizes[self.a], self.a_starts), self.a_starts,
                                 self._ends(tokenizers.b_sizes[self.b], self.b_starts), self.b_starts)
         # groups: numbered through the batch; a token's group is the number of cuts before it
-        last_a, last_b = np.zeros(len(self.a) + 1, dtype=np.int64), np.zeros(len(self.b) + 1, dtype=np.int64)
-        last_a[at_a[cut] + 1] = 1
-        last_b[at_b[cut] + 1] = 1
-        self.group_a, self.group_b = np.cumsum(last_a)[:-1], np.cumsum(last_b)[:-1]
+        last_a, last_b = np.zeros(len(self.a) + 1, dtype=bool), np.zeros(len(self.b) + 1, dtype=bool)
+        last_a[at_a[cut] + 1] = True
+        last_b[at_b[cut] + 1] = True
         self.groups = int(cut.sum())
+        del at_a, at_b, cut
+        self.group_a, self.group_b = (np.cumsum(x, dtype=np.int32)[:-1] for x in (last_a, last_b))
         self.a_of = np.bincount(self.group_a, minlength=self.groups)   # tokens of each group
         self.b_of = np.bincount(self.group_b, minlength=self.groups)
-        self.doc_a = np.repeat(np.arange(len(texts)), self.n_a)
+        self.doc_a = np.repeat(np.arange(len(texts), dtype=np.int32), self.n_a)
         ends = np.searchsorted(self.group_a, np.arange(self.groups), side="right") - 1
-        self.doc_of = self.doc_a[ends] if self.groups else np.zeros(0, dtype=np.int64)
+        self.doc_of = self.doc_a[ends] if self.groups else np.zeros(0, dtype=np.int32)
         self.n_groups = np.bincount(self.doc_of, minlength=len(texts))
         self.n_links = np.bincount(self.doc_of, weights=self.a_of * self.b_of, minlength=len(texts)).astype(np.int64)
 
@@ -211,7 +243,7 @@ class Batch:
             n = per_a[lo:hi]
             which = np.repeat(np.arange(lo, hi), n)
             b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first_b[self.group_a[lo:hi]], n)
-            key = (self.doc_a[which] << 40) | (self.a[which] * width + self.b[b])
+            key = (self.doc_a[which].astype(np.int64) << 40) | (self.a[which].astype(np.int64) * width + self.b[b])
             found.append(np.unique(key, return_counts=True))
         if not found:
             none = np.zeros(0, dtype=np.int64)
@@ -223,18 +255,18 @@ class Batch:
             links = np.bincount(back, weights=links, minlength=len(keys)).astype(np.int64)
         return keys >> 40, keys & ((1 << 40) - 1), links
 
-    def texts_of_groups(self, a_names: list[str], b_names: list[str]) -> list[str]:
+    def texts_of_groups(self, a_names: list[str], b_names: list[str]) -> Iterator[str]:
         """``a1,a2|b1;a3|b2,b3`` of every document. ``names`` hold each id
         twice: followed by a comma, and by the mark that ends its part."""
         last_a = np.diff(self.group_a, append=-1) != 0
         last_b = np.diff(self.group_b, append=-1) != 0
-        order = np.empty(len(self.a) + len(self.b), dtype=np.int64)
+        order = np.empty(len(self.a) + len(self.b), dtype=np.int32)
         order[np.arange(len(self.a)) + _starts(self.b_of)[self.group_a]] = self.a + last_a * (len(a_names) // 2)
         order[np.arange(len(self.b)) + _starts(self.a_of)[self.group_b + 1]] = (
             len(a_names) + self.b + last_b * (len(b_names) // 2))
-        names, codes = a_names + b_names, order.tolist()
-        starts = (self.a_starts + self.b_starts).tolist()
-        return ["".join(map(names.__getitem__, codes[s:e]))[:-1] for s, e in zip(starts[:-1], starts[1:], strict=True)]
+        names, starts = a_names + b_names, (self.a_starts + self.b_starts).tolist()
+        return ("".join(map(names.__getitem__, order[s:e].tolist()))[:-1]
+                for s, e in zip(starts[:-1], starts[1:], strict=True))
 
 
 def names_of(ids: int, mark: str) -> list[str]:
@@ -255,21 +287,31 @@ def block_row(ids: list, texts: list[str], tokenizers: Tokenizers, a_names: list
 
 
 def _encoder(files, chars: int):
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = Tokenizers(files.value)
         a_names, b_names = names_of(len(tokenizers.a_bytes), "|"), names_of(len(tokenizers.b_bytes), ";")
         columns = [c.split()[0] for c in _BLOCK.split(", ")]
+        types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split("<")[1][:-1]] for c in _BLOCK.split(", ")]
+
+        def block() -> pa.RecordBatch:
+            row = block_row(ids, texts, tokenizers, a_names, b_names)
+            return pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t)) for x, t in zip(row, types)],
+                names=columns)
+
         ids, texts, size = [], [], 0
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                if texts and size + len(text) > chars:
-                    yield pd.DataFrame([block_row(ids, texts, tokenizers, a_names, b_names)], columns=columns)
-                    ids, texts, size = [], [], 0
-                ids.append(None if pd.isna(doc) else int(doc))
-                texts.append(text)
-                size += len(text)
+            for i in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(i, ROWS)
+                for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                    if texts and size + len(text) > chars:
+                        yield block()
+                        ids, texts, size = [], [], 0
+                    ids.append(doc)
+                    texts.append(text)
+                    size += len(text)
         if texts:
-            yield pd.DataFrame([block_row(ids, texts, tokenizers, a_names, b_names)], columns=columns)
+            yield block()
     return encode
 
 
@@ -282,8 +324,10 @@ class Aligned:
         shipped = spark.sparkContext.broadcast(files)
         self.folder = shared_folder(spark)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        self.blocks = written(rows.mapInPandas(_encoder(shipped, chars), _BLOCK)
-                              .withColumn("block", F.monotonically_increasing_id()), self.folder, "blocks")
+        # a row is a whole block, so the size of a row group is looked at row by row
+        self.blocks = written(rows.mapInArrow(_encoder(shipped, chars), _BLOCK)
+                              .withColumn("block", F.monotonically_increasing_id()), self.folder, "blocks",
+                              options={"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size.row.check.min": 1})
         import sentencepiece
         self.width = sentencepiece.SentencePieceProcessor(model_proto=files.b).get_piece_size()
         self.asked = self.blocks.select("block", F.posexplode(F.arrays_zip("pair", "held"))).select(
@@ -303,31 +347,29 @@ class Aligned:
     def documents(self) -> DataFrame:
         """The sizes and digests of every document."""
         code = (2 * F.col("n") + F.col("best").cast("long")).alias("code")
-        # a block's distinct pairs: as many as BLOCK_CHARS allows
-        answers = (self.asked.drop("held").join(self.counts, "pair").select("block", F.struct("pos", code).alias("x"))
-                   .groupBy("block").agg(F.array_sort(F.collect_list("x")).alias("x"))
-                   .select("block", F.transform("x", lambda x: x["code"]).alias("codes")))
-        return (self.blocks.drop("pair", "held").join(answers, "block", "left").drop("block")
-                .mapInPandas(_digests, _DIGEST))
+        answers = self.asked.drop("held").join(self.counts, "pair").select(F.col("block").alias("of"), "pos", code)
+        return (self.blocks.drop("pair", "held").groupBy("block").cogroup(answers.groupBy("of"))
+                .applyInPandas(_digests, _DIGEST))
 
 
 _DIGEST = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
            "groups_sha256 string")
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for r in batch.itertuples(index=False):
-            codes = np.zeros(0, dtype=np.int64) if r.codes is None else np.asarray(r.codes, dtype=np.int64)
-            doc = np.repeat(np.arange(len(r.doc_id)), r.entries)
-            code, links = codes[r.at], np.asarray(r.links, dtype=np.int64)
-            best, total = np.zeros(len(r.doc_id), dtype=np.int64), np.zeros(len(r.doc_id), dtype=np.int64)
-            np.add.at(best, doc, links * (code & 1))
-            np.add.at(total, doc, links * (code >> 1))
-            yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(i) else int(i) for i in r.doc_id], dtype="Int64"),
-                                "n_a": r.n_a, "n_b": r.n_b,
-                                "n_groups": r.n_groups, "n_links": r.n_links, "n_best": best, "count_sum": total,
-                                "groups_sha256": r.sha}).astype({c: "int64" for c in ("n_a", "n_b", "n_groups", "n_links")})
+def _digests(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one block; ``answers`` are those of its distinct pairs."""
+    r = next(blocks.itertuples(index=False))
+    codes = np.zeros(len(answers), dtype=np.int64)
+    codes[answers["pos"].to_numpy()] = answers["code"].to_numpy()
+    doc = np.repeat(np.arange(len(r.doc_id)), r.entries)
+    code, links = codes[r.at], np.asarray(r.links, dtype=np.int64)
+    best, total = np.zeros(len(r.doc_id), dtype=np.int64), np.zeros(len(r.doc_id), dtype=np.int64)
+    np.add.at(best, doc, links * (code & 1))
+    np.add.at(total, doc, links * (code >> 1))
+    return pd.DataFrame({"doc_id": pd.array([None if pd.isna(i) else int(i) for i in r.doc_id], dtype="Int64"),
+                         "n_a": r.n_a, "n_b": r.n_b,
+                         "n_groups": r.n_groups, "n_links": r.n_links, "n_best": best, "count_sum": total,
+                         "groups_sha256": r.sha}).astype({c: "int64" for c in ("n_a", "n_b", "n_groups", "n_links")})
 
 
 def groups(docs: DataFrame, files: Files | None = None) -> DataFrame:
@@ -341,6 +383,6 @@ def groups(docs: DataFrame, files: Files | None = None) -> DataFrame:
             if len(batch):
                 done = Batch(batch["text"].to_list(), tokenizers)
                 yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"),
-                                    "groups": done.texts_of_groups(a_names, b_names)})
+                                    "groups": list(done.texts_of_groups(a_names, b_names))})
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
                        ).mapInPandas(align, "doc_id long, groups string")
