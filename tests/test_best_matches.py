@@ -1,6 +1,8 @@
 """The k best of a batch are found inside the tasks: same rows as ranking every
 (query, document), ties, negative scores, repeated and null ids included."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,45 @@ def test_candidates_keep_other_documents_postings_out(spark, index, topics):
     assert {(r.qid, r.docno): pytest.approx(r.BM25) for r in some.collect()} == {
         p: full[p] for p in [("1", "d1"), ("1", "c3"), ("2", "d1")] if p in full}
     assert "LeftSemi" in some._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("model", ["BM25", "DirichletLM", "PL2"])
+def test_shared_terms_as_matrices_and_blocks_in_one_pass(spark, topics, model, monkeypatch):
+    """Products of the terms most documents and queries share are made by matrix;
+    several blocks take one pass over the postings."""
+    texts = [f"common word{i % 7} word{i % 5} " + "filler " * (i % 4) for i in range(300)] + ["common word1 exact copies"] * 60
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "docno string, text string").coalesce(1)
+    index = build_index(docs, STOP_ONLY)
+    q = rt.QueryTerms(rt.query_terms(topics, STOP_ONLY))
+    want = key(every(index, q, model, 7))
+    assert [len(blocks) for blocks, _ in scoring.passes([q.df, q.df.filter("qid = '1'"), q.df.filter("false")])] == [2]
+    for name, value in (("BLOCK_ROWS", 4), ("CELLS", 40), ("STEP_ROWS", 20), ("WARM_DOCUMENTS", 3), ("BUFFER_ROWS", 4)):
+        monkeypatch.setattr(scoring, name, value)
+    assert want and key(rt.retrieve(index, topics, model, 7)) == want
+
+
+def test_matrix_sums_equal_single_products():
+    """A block whose shared terms are columns keeps the rows that one without keeps."""
+    rng = np.random.default_rng(3)
+    terms, queries = 30, 12
+    n = rng.integers(1, queries, terms)
+    block = scoring.Block(np.concatenate(([0], np.cumsum(n))), np.concatenate([rng.permutation(queries)[:x] for x in n]).astype(np.int32),
+                          rng.integers(1, 4, n.sum()).astype(float), np.ones(queries), pa.array([f"q{i}" for i in range(queries)]))
+    sizes = rng.integers(1, 15, 400)
+    tid = np.concatenate([np.sort(rng.permutation(terms)[:x]) for x in sizes])
+    docno, dl, base = pa.array([f"d{i}" for i in range(400)]), np.arange(400), np.zeros(400)
+    for weights in (rng.random(len(tid)), rng.random(len(tid)) - 0.5):
+        found = []
+        for warm in (10, 10**9):
+            best, at = scoring.Best(block, 5), np.concatenate(([0], np.cumsum(sizes)))
+            scoring.WARM_DOCUMENTS, kept = warm, scoring.WARM_DOCUMENTS
+            try:
+                for i in range(0, 400, 50):
+                    p = slice(at[i], at[i + 50])
+                    best.add(docno.slice(i, 50), dl[i:i + 50], base[i:i + 50], sizes[i:i + 50], tid[p], [weights[p]], [False])
+            finally:
+                scoring.WARM_DOCUMENTS = kept
+            assert (best.column is None) == (warm > 400)
+            rows = pa.Table.from_batches(best.rows(["s"])).to_pylist()
+            found.append(sorted((r["qid"], r["docno"], round(r["s"], 9)) for r in rows))
+        assert found[0] == found[1]
