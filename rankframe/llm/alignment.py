@@ -44,6 +44,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import chain
 
@@ -64,7 +65,7 @@ BLOCK_CHARS = 2_000_000
 CROSS = 1_000_000      # pairs of large groups written out at once
 CACHED_WORDS, CACHED_CHARS = 200_000, 4_000_000  # words whose ids a task keeps, and their size
 PART_CHARS = 200_000    # encoded at once
-ROWS = 256              # texts taken out of a batch at once
+ROWS = 256              # texts that go to Python at once
 ROW_GROUP_BYTES = 16_000_000  # of the written blocks
 # --- end of fixed values ----------------------------------------------------------
 
@@ -301,20 +302,30 @@ def _encoder(files, chars: int):
 
         ids, texts, size = [], [], 0
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(i, ROWS)
-                for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
-                    if texts and size + len(text) > chars:
-                        yield block()
-                        ids, texts, size = [], [], 0
-                    ids.append(doc)
-                    texts.append(text)
-                    size += len(text)
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if texts and size + len(text) > chars:
+                    yield block()
+                    ids, texts, size = [], [], 0
+                ids.append(doc)
+                texts.append(text)
+                size += len(text)
         if texts:
             yield block()
     return encode
 
 
+@contextmanager
+def _short_batches(spark) -> Iterator[None]:
+    """What is run inside sends texts to Python ``ROWS`` at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Aligned:
     """The documents' blocks and the corpus-wide count of every linked pair."""
 
@@ -325,9 +336,10 @@ class Aligned:
         self.folder = shared_folder(spark)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         # a row is a whole block, so the size of a row group is looked at row by row
-        self.blocks = written(rows.mapInArrow(_encoder(shipped, chars), _BLOCK)
-                              .withColumn("block", F.monotonically_increasing_id()), self.folder, "blocks",
-                              options={"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size.row.check.min": 1})
+        with _short_batches(spark):
+            self.blocks = written(rows.mapInArrow(_encoder(shipped, chars), _BLOCK)
+                                  .withColumn("block", F.monotonically_increasing_id()), self.folder, "blocks",
+                                  options={"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size.row.check.min": 1})
         import sentencepiece
         self.width = sentencepiece.SentencePieceProcessor(model_proto=files.b).get_piece_size()
         self.asked = self.blocks.select("block", F.posexplode(F.arrays_zip("pair", "held"))).select(

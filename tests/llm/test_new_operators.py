@@ -224,6 +224,47 @@ def test_large_groups_are_cut(monkeypatch):
     assert [x.tolist() for x in whole] == [x.tolist() for x in cut]
 
 
+def test_encoding_holds_no_more_than_a_part(tokenizers, monkeypatch):
+    """Texts are encoded in parts, kept words are bounded in number and in size,
+    with the same tokens."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(["a", " ", "the ", "é", "日本", "x" * 40, "\n", "🙂"], k=rng.randint(0, 40))) for _ in range(300)]
+    whole = alignment.Batch(texts, tokenizers)
+    asked = []
+
+    class Watched(alignment.Tokenizers):
+        def encode(self, part):
+            asked.append(sum(map(len, part)))
+            return super().encode(part)
+    for name, value in (("PART_CHARS", 500), ("CACHED_WORDS", 10**9), ("CACHED_CHARS", 2000)):
+        monkeypatch.setattr(alignment, name, value)
+    small = Watched(alignment.Files.read())
+    held = []
+    for k in range(0, 300, 20):
+        alignment.Batch(texts[k:k + 20], small)
+        held.append(small._chars)
+    assert max(asked) <= max(500, max(map(len, texts))) and max(held) <= 2000 + 2 * 500
+    parts = alignment.Batch(texts, small)
+    for name in ("a", "b", "n_a", "n_b", "group_a", "group_b", "n_groups", "n_links"):
+        assert getattr(whole, name).tolist() == getattr(parts, name).tolist()
+
+
+def test_a_block_is_a_row_group_and_answered_by_itself(spark, tmp_path, monkeypatch):
+    """Blocks aren't collected: row groups are cut, and no array of answers is gathered."""
+    import glob
+
+    import pyarrow.parquet as pq
+    monkeypatch.setattr(alignment, "ROW_GROUP_BYTES", 1)
+    docs = spark.createDataFrame([(k, f"some text w{k}") for k in range(40)], "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    done = alignment.Aligned(docs, chars=60)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(done.folder.removeprefix("file:") + "/blocks/part-*")]
+    assert sum(f.num_rows for f in files) > 5 and all(f.num_row_groups == f.num_rows for f in files)
+    out = done.documents()
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 40
+
+
 # -------------------------------------------------------------------- divergence
 def brute_audit(rows, min_docs):
     terms = lambda t: [x.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
